@@ -135,9 +135,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+ of each row, and the row's first word's index (n + 1 of them)."""
-    word = _WORD[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of each row's words (runs of bytes of a kind; [^\\x20\\x09-\\x0D]+ unless given), and the row's first word's index (n + 1 of them)."""
+    word = kind[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
