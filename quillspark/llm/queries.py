@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lm_scoring, near_dedup, packing, secrets
+from . import decontaminate, language, lm_scoring, near_dedup, packing, secrets, topk, toxicity
 from .common import fold, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE, 4096)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.best_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = fold("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 5) == 1
     return lm_scoring.scored(table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out, held_out)
