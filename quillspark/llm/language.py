@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import U64
+
 UNKNOWN = "und"
 PER_LANGUAGE = 800
 ROUNDS = 3
@@ -33,7 +35,7 @@ PIECE = 12  # characters of a piece at most
 STRAY = 1e-7  # of a character that no piece is
 _MARK = "▁"
 _WORDS = re.compile(r"[^\W\d_]+")
-_MOST_WORDS = 400_000
+_MOST_WORDS = 200_000  # whose scores a worker keeps
 
 
 def pieces_of(path: str) -> dict[str, int]:
@@ -51,45 +53,79 @@ def cut(text: str) -> list[str]:
     return [w for x in words for w in ([x] if len(x) <= LONGEST else [x[i : i + LONGEST] for i in range(0, len(x), LONGEST)])]
 
 
-def _lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words by length: their places, and ids[word, start, length - 1] of pieces, -1 where there is none, -2 for a stray character."""
+class Finder:
+    """Pieces by a 64-bit polynomial hash of their characters, in a table of open slots."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.mul = U64(0x9E3779B97F4A7C15)
+        self.powers = np.cumprod(np.concatenate([[U64(1)], np.full(LONGEST + 1, self.mul)]))
+        self.shift = U64(64 - 19)
+        self.keys, self.ids = np.zeros(1 << 19, np.uint64), np.full(1 << 19, -1, np.int32)
+        self.probes = 1
+        for p, i in pieces.items():
+            h = self.prefix(np.array([[ord(c) for c in p]], np.uint32))[0, -1]
+            at, n = int(((np.array([h]) * self.mul) >> self.shift)[0]), 1
+            while self.ids[at] >= 0:
+                at, n = (at + 1) & (len(self.ids) - 1), n + 1
+            self.keys[at], self.ids[at] = h, i
+            self.probes = max(self.probes, n)
+
+    def prefix(self, codes: np.ndarray) -> np.ndarray:
+        """[word, n + 1] hashes of the first n characters."""
+        out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+        for j in range(codes.shape[1]):
+            out[:, j + 1] = out[:, j] * self.mul + codes[:, j].astype(np.uint64) + U64(1)
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers, -1 where there is none."""
+        at = ((h * self.mul) >> self.shift).astype(np.int64)
+        out = np.where(self.keys[at] == h, self.ids[at], -1)
+        for _ in range(1, self.probes):
+            at = (at + 1) & (len(self.ids) - 1)
+            out = np.where(self.keys[at] == h, self.ids[at], out)
+        return out
+
+
+def _lattices(words: list[str], finder: Finder) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words by length: their places, and ids[length - 1, start, word] of pieces, -1 where there is none, -2 for a stray character."""
     by_length = defaultdict(list)
     for i, w in enumerate(words):
         by_length[len(w) + 1].append(i)
-    get = pieces.get
     for n, own in by_length.items():
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            most = min(n, PIECE)
-            ids = np.full((len(part), n, most), -1, np.int32)
-            for k, i in enumerate(part):
-                w = _MARK + words[i]
-                ids[k] = [[get(w[a : a + m], -2 if m == 1 else -1) if a + m <= n else -1 for m in range(1, most + 1)] for a in range(n)]
+        most = min(n, PIECE)
+        for at in range(0, len(own), 2048):
+            part = own[at : at + 2048]
+            codes = np.frombuffer("".join(_MARK + words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+            sums = finder.prefix(codes).T
+            ids = np.full((most, n, len(part)), -1, np.int32)
+            for m in range(1, most + 1):
+                ids[m - 1, : n - m + 1] = finder.find(sums[m:] - sums[: n - m + 1] * finder.powers[m])
+            ids[0][ids[0] < 0] = -2
             yield np.array(part), ids
 
 
 def _forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """p: probability by piece, then that of a stray character, then 0. Returns the lattice's probabilities and forward sums."""
-    w, n, most = ids.shape
-    prob = p[np.where(ids == -2, len(p) - 2, np.where(ids == -1, len(p) - 1, ids))]
-    alpha = np.zeros((w, n + 1))
-    alpha[:, 0] = 1
+    """p[piece, language]: probabilities by piece, then those of a stray character, then 0. Returns the lattice's probabilities and forward sums."""
+    most, n, w = ids.shape
+    prob = p[ids]  # -1 is the last row, -2 the one before
+    alpha = np.zeros((n + 1, w, p.shape[1]))
+    alpha[0] = 1
     for a in range(n):
         for m in range(1, min(most, n - a) + 1):
-            alpha[:, a + m] += alpha[:, a] * prob[:, a, m - 1]
+            alpha[a + m] += alpha[a] * prob[m - 1, a]
     return prob, alpha
 
 
-def _full(p: np.ndarray) -> np.ndarray:
-    return np.concatenate([p, [STRAY, 0.0]])
+def _full(probs: np.ndarray) -> np.ndarray:
+    return np.concatenate([probs.T, np.full((1, len(probs)), STRAY), np.zeros((1, len(probs)))])
 
 
-def word_scores(words: list[str], pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], finder: Finder, probs: np.ndarray) -> np.ndarray:
     """Natural log-probabilities [word, language]."""
-    out = np.zeros((len(words), len(probs)))
-    for own, ids in _lattices(words, pieces):
-        for j, p in enumerate(probs):
-            out[own, j] = np.log(np.maximum(_forward(ids, _full(p))[1][:, -1], 1e-300))
+    out, full = np.zeros((len(words), len(probs))), _full(probs)
+    for own, ids in _lattices(words, finder):
+        out[own] = np.log(np.maximum(_forward(ids, full)[1][-1], 1e-300))
     return out
 
 
@@ -100,27 +136,23 @@ def fitted(counts: dict[str, Counter], pieces: dict[str, int]) -> tuple[list[str
     weights = np.array([[counts[x].get(w, 0) for x in langs] for w in words], dtype=np.float64).reshape(len(words), len(langs))
     size = max(1, len(pieces))
     probs = np.full((len(langs), size), 1.0 / size)
-    lattices = list(_lattices(words, pieces))
+    lattices = list(_lattices(words, Finder(pieces)))
     for _ in range(ROUNDS):
-        sums = np.zeros_like(probs)
+        sums, full = np.zeros_like(probs), _full(probs)
         for own, ids in lattices:
-            _, n, most = ids.shape
-            for j in range(len(langs)):
-                held = weights[own, j] > 0
-                if not held.any():
-                    continue
-                mine = ids[held]
-                prob, alpha = _forward(mine, _full(probs[j]))
-                beta = np.zeros_like(alpha)
-                beta[:, n] = 1
-                for a in range(n - 1, -1, -1):
-                    for m in range(1, min(most, n - a) + 1):
-                        beta[:, a] += prob[:, a, m - 1] * beta[:, a + m]
-                scale = weights[own, j][held] / np.maximum(alpha[:, n], 1e-300)
-                for m in range(1, most + 1):
-                    got = alpha[:, : n - m + 1] * prob[:, : n - m + 1, m - 1] * beta[:, m : n + 1] * scale[:, None]
-                    at = mine[:, : n - m + 1, m - 1]
-                    sums[j] += np.bincount(at[at >= 0], weights=got[at >= 0], minlength=size)
+            most, n, _ = ids.shape
+            prob, alpha = _forward(ids, full)
+            beta = np.zeros_like(alpha)
+            beta[n] = weights[own] / np.maximum(alpha[n], 1e-300)
+            for a in range(n - 1, -1, -1):
+                for m in range(1, min(most, n - a) + 1):
+                    beta[a] += prob[m - 1, a] * beta[a + m]
+            for m in range(1, most + 1):
+                at = ids[m - 1, : n - m + 1]
+                held = at >= 0
+                got = (alpha[: n - m + 1] * prob[m - 1, : n - m + 1] * beta[m:])[held]
+                for j in range(len(langs)):
+                    sums[j] += np.bincount(at[held], weights=got[:, j], minlength=size)
         shared = sums.sum(axis=0) + 0.1
         sums += 20.0 * shared / shared.sum() + 1e-3
         probs = sums / sums.sum(axis=1, keepdims=True)
@@ -158,7 +190,7 @@ def train(docs: DataFrame, training: Column, path: str, per_language: int = PER_
 
 class _Scorer:
     def __init__(self, langs: list[str], probs: np.ndarray, pieces: dict[str, int]):
-        self.langs, self.probs, self.pieces = langs, probs, pieces
+        self.langs, self.probs, self.finder = langs, probs, Finder(pieces)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)))
 
@@ -168,7 +200,7 @@ class _Scorer:
         if len(self.known) + len(new) > _MOST_WORDS:
             self.known, self.scores = {}, self.scores[:0]
             new = list({w for words in split for w in words})
-        self.scores = np.concatenate([self.scores, word_scores(new, self.pieces, self.probs)])
+        self.scores = np.concatenate([self.scores, word_scores(new, self.finder, self.probs)])
         at = len(self.known)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
         names, sure = [], []
@@ -202,8 +234,8 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             names, sure = [], []
-            for at in range(0, len(texts), 1024):
-                a, b = scorer.predict([t or "" for t in texts[at : at + 1024]])
+            for at in range(0, len(texts), 512):
+                a, b = scorer.predict([t or "" for t in texts[at : at + 512]])
                 names += a
                 sure += b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])

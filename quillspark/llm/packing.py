@@ -30,7 +30,7 @@ PART = 8192
 FAN = 32
 RELEASED = 64  # of a partition's bins at most, the least full first
 SLACK = 32  # free places from which a bin is worth releasing
-_MOST_UNITS = 3_000_000  # kept by a worker, some 100 MB; then it starts anew
+_MOST_UNITS = 1_000_000  # kept by a worker, some 40 MB; then it starts anew
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _KIND = np.full(256, 2, np.uint8)  # 0: white space, 1: ASCII letter, 2: other ASCII, 8: apostrophe or part of a longer character
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
