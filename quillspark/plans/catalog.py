@@ -1,15 +1,393 @@
-"""The queries of this package and the SQL they are checked against."""
+"""The queries of this package over the driver's tables, and the SQL they are checked against.
+
+The event relation is read out of the tables: conversations give prompts and replies, documents prose by tool (lang) and
+project (source), events timestamps, usage and models.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import clean as C
+from ..functions import tokens as T
+from ..functions import words as W
+from ..operators import events as E
+from ..operators import score as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- SQL that several checks share -----------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_STOP = ", ".join(_q(w) for w in W.STOPWORDS)
+_BASE = ", ".join(_q(w) for w in W.BASE_STOP)
+
+
+def _opaque(t: str) -> str:
+    return f"""len(list_filter(regexp_extract_all({t}, '[0-9a-z]+'), lambda r: length(r) >= 10 AND regexp_matches(r, '[a-z]') AND (len(regexp_extract_all(r, '[0-9]+')) >= 3
+ OR (length(r) >= 14 AND length(regexp_replace(r, '[^aeiouy]', '', 'g')) < 0.2 * length(regexp_replace(r, '[^a-z]', '', 'g')))))) > 0"""
+
+
+def _keep(t: str) -> str:
+    digits = f"length(regexp_replace({t}, '[^0-9]', '', 'g'))"
+    return f"""(length({t}) BETWEEN 3 AND 28 AND {t} NOT IN ({_STOP}) AND NOT regexp_matches({t}, {_q(W.HOST)}) AND NOT regexp_matches({t}, {_q(W.DOTTED)})
+ AND (regexp_matches({t}, '[aeiouy]') OR regexp_matches({t}, '[^\\x00-\\x7f]')) AND ({digits} = 0 OR (length({t}) > 3 AND {digits} <= 0.4 * length({t})))
+ AND NOT regexp_matches({t}, {_q(W.CREDENTIAL)}) AND NOT ({_opaque(t)}))"""
+
+
+_KEEP, _OPAQUE = _keep("t"), _opaque("t")
+
+
+def _toks(table: str, columns: str, where: str = "true") -> str:
+    return f"SELECT {columns}, t FROM (SELECT {columns}, trim(lower(unnest(regexp_extract_all(text, {_q(W.TOKEN)}))), '-.''') AS t FROM {table} WHERE {where})"
+
+
+_TERMS = f"raw AS ({_toks('documents', 'doc_id, lang')}), kept AS (SELECT * FROM raw WHERE {_KEEP}), df AS (SELECT lang, t AS term, count(DISTINCT doc_id) AS n FROM kept GROUP BY ALL)"
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequency of kept tokens by language."""
+    docs = _t(spark, d, "documents")
+    return docs.select("lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+
+
+# --- terms -----------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_TERMS} SELECT lang, term, n FROM df")
+def term_doc_freq(spark, d):
+    return _terms(spark, d)
+
+
+@_query(f"WITH {_TERMS} SELECT lang, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM df) WHERE rank <= 50")
+def top_terms(spark, d):
+    return S.top_n(_terms(spark, d), 50, ["lang"]).select("lang", "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {_TERMS} SELECT t AS term, count(*) AS n FROM kept GROUP BY 1")
+def term_raw_count(spark, d):
+    return _t(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _odds_sql(df: str, group: str, n: int, least: int) -> str:
+    return f"""bg AS (SELECT term, sum(n) AS bg FROM {df} GROUP BY 1), g AS (SELECT {group}, sum(n) AS nt FROM {df} GROUP BY 1), w AS (SELECT sum(bg) AS tot, count(*) AS v FROM bg),
+x AS (SELECT d.{group}, d.term, d.n, 0.01 * greatest(bg, 1) AS aw, 0.01 * greatest(v, 1) AS a0, nt, tot - nt AS nr, bg - d.n AS yr FROM {df} d JOIN bg USING (term) JOIN g USING ({group}) CROSS JOIN w WHERE d.n >= {least}),
+y AS (SELECT *, n + aw AS t0, nt + a0 - n - aw AS t1, yr + aw AS r0, nr + a0 - yr - aw AS r1 FROM x),
+z AS (SELECT {group}, term, n, round((ln(t0 / t1) - ln(r0 / r1)) / sqrt(1 / t0 + 1 / r0), 3) AS z FROM y WHERE nt > 0 AND nr > 0 AND t1 > 0 AND r0 > 0 AND r1 > 0)
+SELECT {group}, term, n, z FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY z DESC, n DESC, term) AS k FROM z) WHERE k <= {n}"""
+
+
+@_query(f"WITH {_TERMS}, {_odds_sql('df', 'lang', 100, 3)}")
+def log_odds_by_lang(spark, d):
+    return S.log_odds(_terms(spark, d), "lang", n=100)
+
+
+_TALK = "(SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant'))"
+_VOICE = f"raw AS ({_toks(_TALK, 'conv_id, turn, role')}), kept AS (SELECT * FROM raw WHERE {_KEEP}), df AS (SELECT role, t AS term, count(DISTINCT (conv_id, turn)) AS n FROM kept GROUP BY ALL)"
+
+
+@_query(f"WITH {_VOICE}, {_odds_sql('df', 'role', 40, 3)}")
+def voice_words(spark, d):
+    talk = _t(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
+    df = talk.select("conv_id", "turn", "role", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return S.log_odds(df.distinct().groupBy("role", "term").agg(F.count("*").alias("n")), "role", n=40)
+
+
+_PHRASES = f"""p AS (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces) - 2)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_q(W.PIECE)}) AS pieces FROM documents)),
+q AS (SELECT doc_id, trim(lower(pieces[i]), '-.''') AS a, trim(lower(pieces[i + 2]), '-.''') AS b FROM p WHERE regexp_matches(pieces[i], {_q(f'^[{W.LATIN}]')}) AND regexp_matches(pieces[i + 2], {_q(f'^[{W.LATIN}]')}) AND regexp_matches(pieces[i + 1], '^[ \\t\\x{{00a0}}]+$')),
+ph AS (SELECT a || ' ' || b AS term, count(DISTINCT doc_id) AS n FROM q WHERE {_keep('a')} AND {_keep('b')} GROUP BY 1)"""
+
+
+@_query(f"""WITH {_TERMS}, {_PHRASES}, un AS (SELECT term, sum(n) AS n FROM df GROUP BY 1), tp AS (SELECT sum(n) AS tp FROM ph), tw AS (SELECT sum(n) AS tw FROM un),
+s AS (SELECT ph.term, ph.n, log2((ph.n / tp) / ((ua.n / tw) * (ub.n / tw))) AS raw FROM ph JOIN un ua ON ua.term = split_part(ph.term, ' ', 1) JOIN un ub ON ub.term = split_part(ph.term, ' ', 2) CROSS JOIN tp CROSS JOIN tw WHERE ph.n >= 4)
+SELECT term, n, round(raw, 2) AS pmi FROM s WHERE raw >= 2 ORDER BY n * round(raw, 2) DESC, term LIMIT 120""")
+def pmi_phrases(spark, d):
+    ph = _t(spark, d, "documents").select(F.explode(F.array_distinct(T.phrases(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    un = _terms(spark, d).groupBy("term").agg(F.sum("n").alias("n"))
+    return S.pmi_phrases(ph, un)
+
+
+_GRAMS = f"""w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, {_q(W.TOKEN)}), lambda x: trim(lower(x), '-.''')), lambda x: x <> '') AS ws FROM conversations WHERE role = 'user'),
+g AS (SELECT conv_id, turn, list_slice(ws, i, i + k - 1) AS gram FROM (SELECT *, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w CROSS JOIN (VALUES (2), (3)) n(k))),
+ok AS (SELECT conv_id, turn, array_to_string(gram, ' ') AS term FROM g WHERE gram[1] NOT IN ({_BASE}) AND gram[len(gram)] NOT IN ({_BASE}) AND len(list_filter(gram, lambda x: NOT regexp_matches(x, {_q(W.WORD_LIKE)}))) = 0)"""
+
+
+def _gram_rows(spark, d):
+    users = _t(spark, d, "conversations").where("role = 'user'")
+    return users.select("conv_id", "turn", F.explode(T.ngrams(F.col("text"))).alias("term"))
+
+
+@_query(f"WITH {_GRAMS} SELECT term, count(*) AS n FROM ok GROUP BY 1 HAVING count(*) >= 2")
+def discourse_ngrams(spark, d):
+    return _gram_rows(spark, d).groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@_query(f"""WITH {_GRAMS} SELECT term, prompts, projects FROM (SELECT term, count(DISTINCT (conv_id, turn)) AS prompts, count(DISTINCT conv_id % 10) AS projects FROM ok GROUP BY 1)
+WHERE prompts >= 3 ORDER BY projects DESC, prompts DESC, term LIMIT 50""")
+def signature_phrases(spark, d):
+    rows = _gram_rows(spark, d).distinct()  # a prompt counts once, its conversation's last digit stands for the project
+    per = rows.groupBy("term").agg(F.count("*").alias("prompts"), F.count_distinct(F.col("conv_id") % 10).alias("projects"))
+    return per.where("prompts >= 3").orderBy(F.desc("projects"), F.desc("prompts"), "term").limit(50)
+
+
+@_query(f"""WITH raw AS ({_toks('(SELECT c.text, e.ts FROM conversations c JOIN events e ON c.conv_id = e.event_id)', 'ts')}), c AS (SELECT date_trunc('hour', ts) AS span, t AS term, count(*) AS n FROM raw WHERE {_KEEP} GROUP BY ALL),
+s AS (SELECT span, row_number() OVER (ORDER BY span) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT span FROM c)),
+x AS (SELECT term, sum(CASE WHEN i <= k // 2 THEN n ELSE 0 END) AS e, sum(CASE WHEN i > k // 2 THEN n ELSE 0 END) AS l FROM c JOIN s USING (span) WHERE k >= 2 GROUP BY 1),
+tot AS (SELECT greatest(sum(e), 1) AS te, greatest(sum(l), 1) AS tl FROM x),
+y AS (SELECT term, e + l AS n, round(log2(((l + 0.5) / tl * 1e5) / ((e + 0.5) / te * 1e5)), 3) AS lift FROM x CROSS JOIN tot WHERE e + l >= 8)
+SELECT term, n, lift, 'rising' AS direction FROM (SELECT * FROM y ORDER BY lift DESC, n DESC, term LIMIT 40) UNION ALL SELECT term, n, lift, 'fading' FROM (SELECT * FROM y ORDER BY lift, n DESC, term LIMIT 40)""")
+def trends(spark, d):
+    dated = _t(spark, d, "conversations").join(_t(spark, d, "events").select(F.col("event_id").alias("conv_id"), "ts"), "conv_id")
+    c = dated.select(F.date_trunc("hour", "ts").alias("span"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("span", "term").agg(F.count("*").alias("n"))
+    return S.trends(c, "span")
+
+
+@_query(f"""WITH {_TERMS}, u AS (SELECT term, sum(n) AS n FROM df GROUP BY 1), k AS (SELECT count(*) AS k FROM u)
+SELECT term, n FROM u CROSS JOIN k WHERE n >= CASE WHEN k >= 400 THEN 2 ELSE 1 END AND NOT regexp_matches(term, '[./@\\\\]')""")
+def vocab_gate(spark, d):
+    u = _terms(spark, d).groupBy("term").agg(F.sum("n").alias("n"))
+    floor = u.agg(F.when(F.count("*") >= 400, 2).otherwise(1).alias("least"))
+    return u.crossJoin(F.broadcast(floor)).where(F.col("n") >= F.col("least")).where(~F.col("term").rlike(r"[./@\\]")).select("term", "n")
+
+
+@_query(f"WITH raw AS (SELECT DISTINCT t FROM ({_toks('documents', 'doc_id')})) SELECT t AS term, regexp_matches(t, {_q(W.CREDENTIAL)}) AS credential, {_OPAQUE} AS opaque FROM raw WHERE regexp_matches(t, {_q(W.CREDENTIAL)}) OR {_OPAQUE}")
+def opaque_tokens(spark, d):
+    t = _t(spark, d, "documents").select(F.explode(T.raw_tokens(F.col("text"))).alias("term")).distinct()
+    return t.select("term", F.col("term").rlike(W.CREDENTIAL).alias("credential"), T.opaque(F.col("term")).alias("opaque")).where("credential or opaque")
+
+
+# --- near-duplicate prompts ------------------------------------------------------------------
+
+_KEYED = f"k AS (SELECT *, array_to_string(list_slice(list_filter(list_transform(regexp_extract_all(text, {_q(W.TOKEN)}), lambda x: trim(lower(x), '-.''')), lambda x: regexp_matches(x, {_q(f'^[{W.LATIN}]+$')})), 1, 6), ' ') AS key FROM @@)"
+
+
+@_query(f"WITH {_KEYED.replace('@@', 'documents')} SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id) AS r FROM k) WHERE key = '' OR r = 1")
+def dedup_first_occurrence(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang", T.shingle_key(F.col("text")).alias("key"))
+    return E.first_occurrence(docs, "key", ["lang"], "doc_id").select("doc_id", "lang")
+
+
+@_query(f"WITH {_KEYED.replace('@@', 'conversations')} SELECT key, count(*) AS n, max(length(text)) AS longest FROM k WHERE role = 'user' AND key <> '' GROUP BY 1")
+def cluster_prompts(spark, d):
+    k = _t(spark, d, "conversations").where("role = 'user'").withColumn("key", T.shingle_key(F.col("text"))).where("key <> ''")
+    return k.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+# --- facets and activity ---------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return _t(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), "value")
+
+
+@_query("SELECT event_type AS tool, min(ts) AS first, max(ts) AS last, count(DISTINCT user_id) AS sessions, count(*) AS events FROM events GROUP BY 1")
+def coverage_by_tool(spark, d):
+    return E.coverage(_events(spark, d))
+
+
+@_query("""SELECT 'global' AS slice, '' AS value, count(*) AS events, count(DISTINCT doc_id) AS sessions FROM documents UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), count(*), count(DISTINCT doc_id) FROM documents GROUP BY 2
+UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*), count(DISTINCT doc_id) FROM documents GROUP BY 2""")
+def slice_counts(spark, d):
+    return E.slice_counts(_t(spark, d, "documents").withColumnRenamed("doc_id", "session_id"), "lang", "source")
+
+
+@_query("SELECT conv_id, count(*) AS events, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS prompts, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY 1 ORDER BY events DESC, conv_id LIMIT 40")
+def session_lengths(spark, d):
+    s = _t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("events"), F.count_if(F.col("role") == "user").alias("prompts"), F.min("turn").alias("first"), F.max("turn").alias("last"))
+    return s.orderBy(F.desc("events"), "conv_id").limit(40)
+
+
+@_query("SELECT source AS project, lang AS tool, count(*) AS n FROM documents WHERE source <> 'unknown' GROUP BY ALL")
+def project_tool_pivot(spark, d):
+    return _t(spark, d, "documents").where("source <> 'unknown'").groupBy(F.col("source").alias("project"), F.col("lang").alias("tool")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT source AS project, count(*) AS n FROM documents WHERE source <> 'unknown' GROUP BY 1 ORDER BY n DESC, project LIMIT 24")
+def top_projects(spark, d):
+    return _t(spark, d, "documents").where("source <> 'unknown'").groupBy(F.col("source").alias("project")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(24)
+
+
+@_query("SELECT count(*) AS events, count(DISTINCT user_id) AS sessions, count(DISTINCT event_type) AS tools FROM events")
+def totals(spark, d):
+    return _events(spark, d).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("tool").alias("tools"))
+
+
+@_query("SELECT event_type AS tool, n, round(n / sum(n) OVER (), 4) AS share FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, event_type) = 1")
+def top_tool(spark, d):
+    n = _events(spark, d).groupBy("tool").agg(F.count("*").alias("n"))
+    whole = n.agg(F.sum("n").alias("of"))
+    return n.crossJoin(F.broadcast(whole)).orderBy(F.desc("n"), "tool").limit(1).select("tool", "n", F.round(F.col("n") / F.col("of"), 4).alias("share"))
+
+
+@_query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def per_day(spark, d):
+    return _events(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT h::INTEGER AS hour, coalesce(n, 0) AS n FROM range(24) r(h) LEFT JOIN (SELECT hour(ts) AS k, count(*) AS n FROM events GROUP BY 1) ON k = h")
+def hour_histogram(spark, d):
+    return E.histogram(spark, _events(spark, d), F.hour("ts"), 0, 23, "hour")
+
+
+@_query("SELECT h::INTEGER AS weekday, coalesce(n, 0) AS n FROM range(1, 8) r(h) LEFT JOIN (SELECT isodow(ts) AS k, count(*) AS n FROM events GROUP BY 1) ON k = h")
+def weekday_histogram(spark, d):
+    return E.histogram(spark, _events(spark, d), F.expr("extract(DAYOFWEEK_ISO FROM ts)"), 1, 7, "weekday")
+
+
+@_query("""WITH h AS (SELECT hour(ts)::INTEGER AS k, count(*) AS n FROM events GROUP BY 1), w AS (SELECT strftime(ts, '%a') AS k, count(*) AS n FROM events GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS k, count(*) AS n FROM events GROUP BY 1)
+SELECT (SELECT k FROM h ORDER BY n DESC, k DESC LIMIT 1) AS peak_hour, (SELECT k FROM w ORDER BY n DESC, k DESC LIMIT 1) AS peak_weekday, (SELECT k FROM b ORDER BY n DESC, k LIMIT 1) AS busiest_day""")
+def peaks(spark, d):
+    e = _events(spark, d)
+    most = lambda k, name: e.groupBy(k.alias("k")).agg(F.count("*").alias("n")).agg(F.max_by("k", F.struct("n", "k")).alias(name))
+    day = e.groupBy(F.to_date("ts").alias("k")).agg(F.count("*").alias("n")).agg(F.min_by("k", F.struct(-F.col("n"), "k")).alias("busiest_day"))
+    return most(F.hour("ts"), "peak_hour").crossJoin(most(F.date_format("ts", "E"), "peak_weekday")).crossJoin(day)
+
+
+@_query("SELECT user_id, max(c) AS streak FROM (SELECT user_id, d - r::INTEGER AS isle, count(*) AS c FROM (SELECT user_id, d, row_number() OVER (PARTITION BY user_id ORDER BY d) AS r FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)) GROUP BY ALL) GROUP BY 1")
+def longest_streak(spark, d):
+    return E.longest_streak(_t(spark, d, "events"), "user_id", "ts")
+
+
+_EMOTION = ", ".join(f"sum(len(regexp_extract_all(text, {_q(p)}))) AS {k}" for k, p in W.EMOTIONS.items())
+
+
+@_query(f"WITH e AS (SELECT {_EMOTION} FROM conversations WHERE role = 'user' AND len(regexp_split_to_array(trim(text), '\\s+')) <= 200) SELECT family, n::BIGINT AS n FROM e UNPIVOT (n FOR family IN ({', '.join(W.EMOTIONS)}))")
+def emotion_counts(spark, d):
+    return E.emotions(_t(spark, d, "conversations").where("role = 'user'"))
+
+
+# --- spend -----------------------------------------------------------------------------------
+
+# Models and usage out of the events: each type of event stands for a model, its value for tokens.
+_MODELS = {"error": "claude-opus-5-20260101", "click": "gpt-5.4-mini-2026-01-01", "view": "gemini-2.5-flash-lite", "signup": "llama-9-turbo", "purchase": "claude-haiku-4-5-20251001"}
+_USAGE = "u AS (SELECT event_id, ts, CASE WHEN event_type = 'click' THEN 'codex' ELSE 'claude_code' END AS tool, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MODELS.items()) + " END AS model, floor(value)::BIGINT AS input, floor(value * 2)::BIGINT AS output, floor(value * 3)::BIGINT AS cache_read, 1::BIGINT AS cache_write FROM events)"
+_PRICES = "p(pattern, a, b, c, d, e) AS (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)})" for k, v in W.PRICES.items()) + ")"
+_COST = f"{_USAGE}, {_PRICES}, m AS (SELECT model, arg_max(pattern, length(pattern)) AS pattern FROM (SELECT DISTINCT model FROM u) JOIN p ON starts_with(model, pattern) GROUP BY 1), x AS (SELECT u.*, (input * a + output * b + cache_read * CASE WHEN tool IN ('codex', 'gemini_cli') THEN e ELSE c END + cache_write * d) / 1e6 AS cost FROM u LEFT JOIN m USING (model) LEFT JOIN p USING (pattern))"
+_SUMS = "sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, round(sum(cost), 4) AS cost, count(*) AS responses"
+
+
+def _usage(spark, d):
+    e = _t(spark, d, "events")
+    model = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _MODELS.items()))
+    floor = lambda k: F.floor(F.col("value") * k).cast("long")
+    return e.select("event_id", "ts", F.when(F.col("event_type") == "click", "codex").otherwise("claude_code").alias("tool"), model.alias("model"), floor(1).alias("input"), floor(2).alias("output"), floor(3).alias("cache_read"), F.lit(1).cast("long").alias("cache_write"))
+
+
+def _spend(spark, d, *keys):
+    return E.spend_by(E.priced(_usage(spark, d), E.prices(spark)), *keys).withColumn("cost", F.round("cost", 4))
+
+
+@_query(f"WITH {_COST} SELECT model, tool, {_SUMS} FROM x GROUP BY ALL")
+def spend_by_model(spark, d):
+    return _spend(spark, d, "model", "tool")
+
+
+@_query(f"WITH {_COST} SELECT tool, {_SUMS} FROM x GROUP BY ALL")
+def spend_by_tool(spark, d):
+    return _spend(spark, d, "tool")
+
+
+@_query(f"WITH {_COST}, y AS (SELECT CAST(ts AS DATE) AS day, * FROM x) SELECT day, {_SUMS} FROM y GROUP BY ALL")
+def spend_by_day(spark, d):
+    return E.spend_by(E.priced(_usage(spark, d).withColumn("day", F.to_date("ts")), E.prices(spark)), "day").withColumn("cost", F.round("cost", 4))
+
+
+@_query(f"WITH {_COST} SELECT DISTINCT model FROM x WHERE cost IS NULL AND model IS NOT NULL")
+def unpriced_models(spark, d):
+    return E.priced(_usage(spark, d), E.prices(spark)).where("cost is null and model is not null").select("model").distinct()
+
+
+@_query(f"WITH {_USAGE} SELECT round(sum(cache_read) / (sum(input) + sum(cache_read)), 4) AS rate FROM u")
+def cache_hit_rate(spark, d):
+    return E.cache_hit_rate(_usage(spark, d))
+
+
+@_query("SELECT event_type AS tool FROM events WHERE event_type <> 'error' EXCEPT SELECT event_type FROM events WHERE value > 400")
+def tools_without_usage(spark, d):
+    e = _t(spark, d, "events")
+    return e.where("event_type <> 'error'").select(F.col("event_type").alias("tool")).subtract(e.where("value > 400").select("event_type"))
+
+
+_RUN = "r AS (SELECT event_id, user_id, floor(value)::BIGINT AS total FROM events)"
+
+
+@_query(f"WITH {_RUN}, l AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM r) SELECT event_id, total, CASE WHEN before IS NULL OR total < before THEN total ELSE total - before END AS delta FROM l")
+def usage_delta(spark, d):
+    r = _t(spark, d, "events").select("event_id", "user_id", F.floor("value").cast("long").alias("total"))
+    return E.usage_delta(r, "user_id", "event_id", "total").select("event_id", "total", "delta")
+
+
+@_query("""WITH r AS (SELECT event_id, user_id, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS m FROM events)
+SELECT event_id, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS model FROM r""")
+def asof_model(spark, d):
+    r = _t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")).alias("m"))
+    return E.last_known(r, "m", "user_id", "event_id", "model").select("event_id", "model")
+
+
+@_query("""WITH c AS (SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT user_id, event_id FROM events WHERE event_type = 'error')
+SELECT r.event_id, arg_max(c.event_type, c.event_id) AS call FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.event_id <= r.event_id GROUP BY 1""")
+def call_of_result(spark, d):
+    e = _t(spark, d, "events")
+    calls = e.where(F.col("event_type").isin("click", "view")).select("user_id", "event_id", F.col("event_type").alias("call"))
+    return E.matched_calls(e.where("event_type = 'error'").select("user_id", "event_id"), calls, ["user_id"], "event_id", "call").select("event_id", "call")
+
+
+# --- cleaning --------------------------------------------------------------------------------
+
+
+@_query(f"""SELECT doc_id, ({' OR '.join(f"starts_with(lower(ltrim(text)), {_q(p)})" for p in C.INJECTED_PREFIXES)} OR {' OR '.join(f"contains(lower(left(text, 4000)), {_q(m)})" for m in C.INJECTED_MARKERS)}) AS injected FROM documents""")
+def injected_messages(spark, d):
+    return _t(spark, d, "documents").select("doc_id", C.is_injected(F.col("text")).alias("injected"))
+
+
+@_query()
+def clean_prose(spark, d):
+    return _t(spark, d, "documents").select("doc_id", C.clean_prose(F.col("text")).alias("prose"))
+
+
+@_query()
+def code_messages(spark, d):
+    return _t(spark, d, "pages").select("page_id", C.looks_like_code(F.col("html")).alias("code"))
+
+
+@_query()
+def error_signatures(spark, d):
+    texts = _t(spark, d, "documents").select("text").unionByName(_t(spark, d, "conversations").select("text"))
+    return texts.select(C.error_signature(F.col("text")).alias("signature")).where("signature <> ''").groupBy("signature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "signature").limit(40)
+
+
+@_query()
+def redact_terms(spark, d):
+    return _t(spark, d, "documents").select("doc_id", C.redact(F.col("text"), ["example.com", "th er", "hash"]).alias("text"))
