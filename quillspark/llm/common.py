@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 BLOCK_BYTES = 4 << 20  # text bytes that one round of numpy temporaries covers
 WORD_BLOCK = 1 << 20
+ROWS_PER_BATCH = 1000
 _MUL = 0x9E3779B97F4A7C15 | 1
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -67,6 +68,14 @@ def _clean() -> None:
             return
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to ROWS_PER_BATCH rows, so that long texts don't pile up in a worker."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_PER_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

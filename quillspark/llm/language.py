@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64
+from .common import U64, bounded
 
 UNKNOWN = "und"
 PER_LANGUAGE = 800
@@ -224,7 +224,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, int
     langs, probs, pieces = model
     keys, table = list(pieces), probs.astype(np.float32)
     tag = hashlib.sha1(table.tobytes() + repr(langs).encode()).hexdigest()
-    kept = docs.drop("lang_pred", "score")
+    kept = bounded(docs).drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _SCORERS:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, dropped, mark, stored, word_bounds, word_hashes
+from .common import blocks, bounded, buffers, dropped, mark, stored, word_bounds, word_hashes
 
 HEAD = 250
 LENGTHS, LASTS, ACCENTS = 5, 4, 5
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, training: Column, held_out: Column, sample: int = SA
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     since = mark()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnt = docs.where(training)
     counts = stored(_word_counts(learnt), "words")
     texts = learnt.select("doc_id").count()

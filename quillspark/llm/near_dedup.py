@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, dropped, hashed_words, mark, mixed, rng_constants, stored
+from .common import U64, bounded, dropped, hashed_words, mark, mixed, rng_constants, stored
 
 BANDS, ROWS = 45, 6
 REGISTERS = BANDS * ROWS
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 regs.append(registers(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "regs"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 KINDS = ("assign", "access", "hex", "random")
 LEAST, RATIO = 20, 1.9
 _FLAGS = re.ASCII
@@ -87,7 +89,7 @@ def secret_spans(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             found = [[{"kind": KINDS[k], "start": a, "end": b, "secret": t[a:b]} for a, k, b in find(t, path)] for t in batch.column(1).fill_null("").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, secret: string>>")
 
 
@@ -108,7 +110,7 @@ def redacted(docs: DataFrame, path: str, text_col: str = "text", mark: str = "[S
             texts = [t if t is None else clean(t) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.column(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def digests(spans: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, word_bounds, word_hashes
+from .common import blocks, bounded, buffers, word_bounds, word_hashes
 
 BOUND = 24_000
 LEXICON = 20_000
@@ -263,5 +263,5 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 score = calibrated(model["steps"], score) if "steps" in model else 1 / (1 + np.exp(-score))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, score double")
