@@ -16,6 +16,7 @@ from ..functions import tokens as T
 from ..functions import words as W
 from ..operators import events as E
 from ..operators import score as S
+from ..operators import share
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -391,3 +392,48 @@ def error_signatures(spark, d):
 @_query()
 def redact_terms(spark, d):
     return _t(spark, d, "documents").select("doc_id", C.redact(F.col("text"), ["example.com", "th er", "hash"]).alias("text"))
+
+
+# --- sharing ---------------------------------------------------------------------------------
+
+_ACCOUNTS, _NAMES = ["admin"], ["river-stone", "harbor"]
+
+
+def _facets(spark, d):
+    """Words of documents by tool (lang) and project (source), calls and messages of events, in the long form of facets."""
+    scope = lambda name, member, facet, t: [F.lit(name).alias("scope"), member.alias("member"), F.lit(facet).alias("facet"), t.alias("t")]
+    words = _terms(spark, d)
+    events = _t(spark, d, "events").where("event_type is not null")
+    call = F.concat(F.lit("mcp__s"), (F.col("user_id") % 3).cast("string"), F.lit("__"), F.col("event_type"))
+    parts = [
+        words.select(*scope("global", F.lit(""), "prose_user", F.col("term")), "n"),
+        words.where("lang is not null").select(*scope("tool", F.col("lang"), "prose_user", F.col("term")), "n"),
+        _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).select(*scope("project", F.col("source"), "prose_user", F.col("source")), "n"),
+        events.groupBy("event_type", call.alias("call")).agg(F.count("*").alias("n")).select(*scope("tool", F.col("event_type"), "tools", F.col("call")), "n"),
+        events.groupBy("event_type", "props").agg(F.count("*").alias("n")).select(*scope("tool", F.col("event_type"), "errors", F.col("props")), "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(*share.KEY, "t").agg(F.sum("n").alias("n"))
+
+
+@_query(f"""WITH {_TERMS}, words AS (SELECT 'global' AS scope, '' AS member, 'prose_user' AS facet, term AS t, n FROM df UNION ALL SELECT 'tool', lang, 'prose_user', term, n FROM df WHERE lang IS NOT NULL),
+calls AS (SELECT 'tool' AS scope, event_type AS member, 'tools' AS facet, 'mcp:' || event_type AS t, count(*) AS n FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type),
+rows AS (SELECT * FROM words UNION ALL SELECT * FROM calls)
+SELECT scope, member, facet, t, sum(n)::BIGINT AS n FROM rows
+WHERE NOT regexp_matches(t, '[a-z0-9_][.][a-z0-9_]|[\\\\/@]|https?:') AND NOT contains(t, 'admin') AND NOT regexp_matches(t, '(^|[^a-z0-9])(river-stone|river stone|harbor)($|[^a-z0-9])') GROUP BY ALL
+UNION ALL SELECT DISTINCT 'tool', event_type, 'errors', 'omitted in share mode', 0::BIGINT FROM events WHERE event_type IS NOT NULL""")
+def scrubbed_facets(spark, d):
+    return share.scrubbed(_facets(spark, d), _ACCOUNTS, _NAMES)
+
+
+@_query("SELECT printf('project %02d', row_number() OVER (ORDER BY n DESC, source)) AS project, n FROM (SELECT source, count(*) AS n FROM documents WHERE source <> 'unknown' GROUP BY 1) ORDER BY n DESC, source LIMIT 24")
+def anonymous_projects(spark, d):
+    return share.anonymous(_t(spark, d, "documents").where("source <> 'unknown'").groupBy(F.col("source").alias("project")).agg(F.count("*").alias("n")), "project", "project", F.desc("n"), "project", most=24)
+
+
+@_query("SELECT conv_id, events, printf('session %02d', row_number() OVER (ORDER BY events DESC, conv_id)) AS session FROM (SELECT conv_id, count(*) AS events FROM conversations GROUP BY 1) ORDER BY events DESC, conv_id LIMIT 40")
+def anonymous_sessions(spark, d):
+    rows = _t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("events")).withColumn("session", F.col("conv_id").cast("string"))
+    return share.anonymous(rows, "session", "session", F.desc("events"), "conv_id", most=40)
