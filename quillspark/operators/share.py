@@ -56,8 +56,9 @@ def scrubbed(facets: DataFrame, accounts: Iterable[str] = (), names: Iterable[st
     rows = facets.where("scope <> 'project'")
     dropped = F.col("facet").isin(DROPPED_FACETS)
     notice = rows.where(dropped).select(*KEY).distinct().select(*KEY, F.lit(NOTICE).alias("t"), F.lit(0).cast("long").alias("n"))
-    kept = rows.where(~dropped).withColumn("t", without_server(F.col("t"))).where(~leaks(F.col("t"), accounts, names))
-    return kept.groupBy(*KEY, "t").agg(F.sum("n").alias("n")).unionByName(notice)
+    # judged inside the aggregation: as a filter below it, the patterns would be tried on every occurrence instead of every term
+    kept = rows.where(~dropped).withColumn("t", without_server(F.col("t"))).groupBy(*KEY, "t").agg(F.sum("n").alias("n"), F.any_value(leaks(F.col("t"), accounts, names)).alias("leaks"))
+    return kept.where("not leaks").drop("leaks").unionByName(notice)
 
 
 def anonymous(rows: DataFrame, name: str, label: str, *order: Column | str, most: int = 40) -> DataFrame:
