@@ -8,8 +8,10 @@ shape has the probability (c + 0.5) / (N + 0.5 (V + 1)), with c its count, N and
 training. Scores are log10 sums.
 
 Counts are exact over all training texts and grow with them. Frequent words' counts (TABLE at most) go to every task; a
-rarer word's count reaches its text through a join on the word's 64-bit hash. The symbol model itself is fitted on whole
-texts of about `sample` training documents, a parameter, chosen by a hash of their id.
+rarer word's count reaches its text through a join on the word's 64-bit hash. The symbol model learns from all training
+texts: about `sample` of them, chosen by a hash of their id, give the common start on the driver; from there each task
+goes through all of its texts, and each row of the parameters becomes the tasks' mean, weighted by the steps that they
+took on it. How rows lie in partitions therefore has an influence on the scores, as any order of training has.
 
 Defined cases. A null or empty text is one end. Repeated rows are scored each. A null doc_id is in no fold: neither held
 out nor learnt from. Without training rows N is 0 and the symbol model is uniform. Other columns are not looked at.
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,10 @@ START = END + 1
 SYMBOLS = END + 1
 TABLE = 100_000
 SAMPLE = 800
-WIDTH, NOISE, EPOCHS, BATCH = 16, 8, 3, 2048
+WIDTH, NOISE, EPOCHS, BATCH = 16, 64, 3, 512
+RATE = 0.1
+HELD = 1 << 18  # targets that a task puts in random order at a time
+PARTS = ("context", "target", "place")
 _HALF = math.log10(0.5)
 
 _LAST = np.zeros(256, np.int64)  # 0 letter, 1 full stop and the like, 2 comma and the like, 3 other
@@ -168,38 +174,125 @@ def _chains(symbol: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return target, one, two, begin
 
 
-def fitted(target: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Noise-contrastive training with Adagrad; noise is the smoothed unigram distribution of symbols."""
+def _begun(unigram: np.ndarray, seed: int = 7) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """An untrained model and its Adagrad sums. A target's last column is its bias: the log of the smoothed unigram distribution."""
     rng = np.random.default_rng(seed)
-    unigram = np.bincount(target, minlength=SYMBOLS) + 0.5
-    noise = unigram / unigram.sum()
-    m = {"context": rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)), "target": rng.normal(0, 0.1, (SYMBOLS, WIDTH)), "place": np.ones((2, WIDTH)), "bias": np.log(noise)}
-    grown = {k: np.full_like(v, 1e-2) for k, v in m.items()}
-    base = np.log(NOISE * noise)
-    cum = np.cumsum(noise)
+    bias = np.log((unigram + 0.5) / (unigram + 0.5).sum())
+    m = {"context": rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)), "target": np.column_stack([rng.normal(0, 0.1, (SYMBOLS, WIDTH)), bias]), "place": np.ones((2, WIDTH))}
+    m = {k: v.astype(np.float32) for k, v in m.items()}
+    return m, {k: np.full_like(v, 1e-2) for k, v in m.items()}
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Learner:
+    """Noise-contrastive training with Adagrad. The noise is the smoothed unigram distribution of symbols; a batch shares its draws."""
+
+    def __init__(self, model: dict[str, np.ndarray], grown: dict[str, np.ndarray], unigram: np.ndarray, seed: int):
+        self.m, self.grown = ({k: v.copy() for k, v in x.items()} for x in (model, grown))
+        self.steps = {k: np.zeros(len(v), np.int64) for k, v in model.items()}  # taken on each row
+        noise = (unigram + 0.5) / (unigram + 0.5).sum()
+        self.cum, self.base = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
+        self.rng = np.random.default_rng(seed)
+
+    def _move(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        at, g = rows[first], np.add.reduceat(grads[order], first, axis=0)
+        self.grown[part][at] += g * g
+        self.m[part][at] -= RATE * g / np.sqrt(self.grown[part][at])
+        self.steps[part][at] += 1
+
+    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One pass over the targets in random order."""
+        order = self.rng.permutation(len(target))
+        for start in range(0, len(order), BATCH):
+            i = order[start : start + BATCH]
+            own, place = target[i], self.m["place"]
+            h1, h2 = self.m["context"][one[i]], self.m["context"][two[i]]
+            hidden = np.column_stack([h1 * place[0] + h2 * place[1], np.ones(len(i), np.float32)])
+            drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), SYMBOLS - 1)
+            true, noise = self.m["target"][own], self.m["target"][drawn]
+            scale = np.float32(len(i) ** -0.5)
+            miss = (_sigmoid((true * hidden).sum(axis=1) - self.base[own]) - 1)[:, None] * scale
+            err = _sigmoid(hidden @ noise.T - self.base[drawn]) * scale
+            dh = (miss * true + err @ noise)[:, :WIDTH]
+            self._move("target", np.concatenate([own, drawn]), np.concatenate([miss * hidden, err.T @ hidden]))
+            self._move("context", np.concatenate([one[i], two[i]]), np.concatenate([dh * place[0], dh * place[1]]))
+            self._move("place", np.arange(2), np.stack([(dh * h1).sum(axis=0), (dh * h2).sum(axis=0)]))
+
+
+def fitted(target: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+    """A model of these targets alone."""
+    unigram = np.bincount(target, minlength=SYMBOLS)
+    own = Learner(*_begun(unigram, seed), unigram, seed)
     for _ in range(EPOCHS if len(target) else 0):
-        order = rng.permutation(len(target))
-        for at in range(0, len(order), BATCH):
-            i = order[at : at + BATCH]
-            h1, h2 = m["context"][one[i]], m["context"][two[i]]
-            hidden = h1 * m["place"][0] + h2 * m["place"][1]
-            drawn = np.minimum(np.searchsorted(cum, rng.random((len(i), NOISE))), SYMBOLS - 1)
-            w = np.concatenate([target[i][:, None], drawn], axis=1)
-            q = m["target"][w]
-            s = np.einsum("bkd,bd->bk", q, hidden) + m["bias"][w] - base[w]
-            err = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            err[:, 0] -= 1
-            err /= len(i) ** 0.5
-            dh = np.einsum("bk,bkd->bd", err, q)
-            grads = {"target": np.zeros_like(m["target"]), "bias": np.bincount(w.ravel(), weights=err.ravel(), minlength=SYMBOLS), "context": np.zeros_like(m["context"]), "place": np.stack([(dh * h1).sum(0), (dh * h2).sum(0)])}
-            flat = (err[:, :, None] * hidden[:, None, :]).reshape(-1, WIDTH)
-            for d in range(WIDTH):
-                grads["target"][:, d] = np.bincount(w.ravel(), weights=flat[:, d], minlength=SYMBOLS)
-                grads["context"][:, d] = np.bincount(one[i], weights=dh[:, d] * m["place"][0, d], minlength=SYMBOLS + 1) + np.bincount(two[i], weights=dh[:, d] * m["place"][1, d], minlength=SYMBOLS + 1)
-            for k, g in grads.items():
-                grown[k] += g * g
-                m[k] -= 0.1 * g / np.sqrt(grown[k])
-    return {k: v.astype(np.float32) for k, v in m.items()}
+        own.learn(target, one, two)
+    return own.m
+
+
+def _unigram(known: Counts) -> np.ndarray:
+    """How often each symbol is a target in training."""
+    out = np.zeros(SYMBOLS)
+    head = known.symbol >= 0
+    out[known.symbol[head]] = known.counts[head]
+    out[HEAD:END], out[END] = known.class_tokens, known.texts
+    return out
+
+
+def _trained(learnt: DataFrame, known: Counts, share: float) -> dict[str, np.ndarray]:
+    """The model of all texts of learnt: a start from a share of them, then a pass over all, averaged."""
+    unigram = _unigram(known)
+
+    def block_chains(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        data, offsets = buffers(batch.column(0))
+        for a, b in blocks(offsets):
+            symbol, *_, firsts = _symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known)
+            yield _chains(symbol, firsts)[:3]
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in block_chains(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in found], ["t", "a", "b"])
+
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = learnt.where(draw < share).orderBy("doc_id").select("text").mapInArrow(chains, "t binary, a binary, b binary").collect()
+    own = Learner(*_begun(unigram), unigram, 7)
+    first = [np.frombuffer(b"".join(r[i] for r in few), np.int32).astype(np.int64) for i in range(3)]
+    for _ in range(EPOCHS):
+        own.learn(*first)
+    model = own.m
+    shared = learnt.sparkSession.sparkContext.broadcast((model, own.grown, unigram))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, grown, unigram = shared.value
+        own, held = Learner(model, grown, unigram, 11 + TaskContext.get().partitionId()), []
+        for batch in batches:
+            for found in block_chains(batch):
+                held.append(found)
+                if sum(len(h[0]) for h in held) >= HELD:
+                    own.learn(*map(np.concatenate, zip(*held, strict=True)))
+                    held.clear()
+        if held:
+            own.learn(*map(np.concatenate, zip(*held, strict=True)))
+        for k, part in enumerate(PARTS):
+            rows = np.flatnonzero(own.steps[part])
+            v = np.zeros((len(rows), WIDTH + 1), np.float32)
+            v[:, : own.m[part].shape[1]] = own.m[part][rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(rows.astype(np.int32)), pa.array(own.steps[part][rows]), *(pa.array(v[:, i]) for i in range(WIDTH + 1))], names)
+
+    values = [f"v{i}" for i in range(WIDTH + 1)]
+    names = ["part", "row", "steps", *values]
+    moved = learnt.select("text").mapInArrow(learn, f"part int, row int, steps long, {', '.join(f'{v} float' for v in values)}")
+    mean = moved.groupBy("part", "row").agg(*((F.sum(F.col(v) * F.col("steps")) / F.sum("steps")).cast("float").alias(v) for v in values)).toArrow()
+    part, row = mean.column("part").to_numpy(), mean.column("row").to_numpy()
+    means = np.stack([mean.column(v).to_numpy() for v in values], axis=1)
+    for k, name in enumerate(PARTS):
+        model[name][row[part == k]] = means[part == k][:, : model[name].shape[1]]
+    return model
 
 
 def log_probabilities(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -211,7 +304,7 @@ def log_probabilities(model: dict[str, np.ndarray], one: np.ndarray, two: np.nda
     for n, at in enumerate(range(0, len(keys), 4096)):
         part = keys[at : at + 4096]
         hidden = model["context"][part // (SYMBOLS + 1)] * model["place"][0] + model["context"][part % (SYMBOLS + 1)] * model["place"][1]
-        s = hidden @ model["target"].T + model["bias"]
+        s = hidden @ model["target"][:, :WIDTH].T + model["target"][:, WIDTH]
         s -= s.max(axis=1, keepdims=True)
         z = np.log(np.exp(s).sum(axis=1))
         own = order[bounds[n] : bounds[n + 1]]
@@ -231,18 +324,7 @@ def scored(docs: DataFrame, training: Column, held_out: Column, sample: int = SA
     counts = stored(_word_counts(learnt), "words")
     texts = learnt.select("doc_id").count()
     known = _gathered(counts, texts)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            for a, b in blocks(offsets):
-                symbol, *_, firsts = _symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known)
-                target, one, two, _ = _chains(symbol, firsts)
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int16).tobytes()], pa.binary()) for x in (target, one, two)], ["t", "a", "b"])
-
-    few = learnt.where(draw < min(1.0, sample / max(1, texts))).orderBy("doc_id").select("text").mapInArrow(chains, "t binary, a binary, b binary").collect()
-    model = fitted(*(np.frombuffer(b"".join(r[i] for r in few), np.int16).astype(np.int64) for i in range(3)))
+    model = _trained(learnt.select("doc_id", "text"), known, min(1.0, sample / max(1, texts)))
     shared = spark.sparkContext.broadcast((known, model))
     below = math.log10(known.tokens + 0.5 * (known.distinct + 1))
     class_below = np.log10(known.class_tokens + 0.5 * (known.class_words + 1))

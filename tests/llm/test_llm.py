@@ -249,3 +249,12 @@ def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
     spark.createDataFrame([(1, docs.where("doc_id = 3").first().text)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
     assert 3 not in got and 900 not in got and 41 not in got and {0, 1, 2, 40} <= got
+
+
+def test_lm_learns_from_texts_outside_the_first_sample(spark):
+    likely = {}
+    for kind, text in (("taking turns", "a b " * 20), ("in two runs", "a " * 20 + "b " * 20)):  # equal counts
+        df = spark.createDataFrame([(i, text) for i in range(1000)] + [(1000, "a b " * 20)], "doc_id long, text string")
+        likely[kind] = lm_scoring.scored(df, F.col("doc_id") < 1000, F.col("doc_id") == 1000, sample=0).where("held_out").first()
+    one, two = likely.values()
+    assert one.base_score == two.base_score and one.score > two.score + 5, (one, two)
