@@ -1,10 +1,11 @@
 """Language-model scores of texts: a log-bilinear model over word symbols, trained with noise-contrastive estimation.
 
-Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased, then one end per text. The HEAD most frequent words are
-symbols of their own; every other word belongs to one of CLASSES shapes (length, last character, kind of accents), which
-is its symbol. The model predicts a symbol from the two before it: the context's vectors, each scaled by its position's
-vector, are summed and multiplied with the targets' vectors; a softmax over all symbols normalises. A word inside its
-shape has the probability (c + 0.5) / (N + 0.5 (V + 1)), with c its count, N and V the shape's words and distinct words in
+Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased, then one end per text. The most frequent words are
+symbols of their own, twice the square root of the training tokens of them (HEAD at least); every other word belongs to
+one of CLASSES shapes (length, last character, kind of accents), which is its symbol. The model predicts a symbol from the
+two before it: the context's vectors, each scaled by its position's vector, are summed and multiplied with the targets'
+vectors. A softmax normalises over the HEAD first words, the shapes, the end and groups of up to GROUP of the other words,
+whose shape is one; inside the group a second softmax over its words' vectors does. A rarer word inside its shape has the probability (c + 0.5) / (N + 0.5 (V + 1)), with c its count, N and V the shape's words and distinct words in
 training. Scores are log10 sums.
 
 Counts are exact over all training texts and grow with them. Frequent words' counts (TABLE at most) go to every task; a
@@ -36,13 +37,15 @@ LENGTHS, LASTS, ACCENTS = 5, 4, 5
 CLASSES = LENGTHS * LASTS * ACCENTS
 END = HEAD + CLASSES
 START = END + 1
-SYMBOLS = END + 1
+SYMBOLS = END + 1  # without the other words: their symbols follow START, and as targets their groups follow END
+GROUP = 256
+GROWTH = 2
 TABLE = 100_000
 SAMPLE = 800
-WIDTH, NOISE, EPOCHS, BATCH = 16, 64, 3, 512
+WIDTH, NOISE, INNER, EPOCHS, BATCH = 16, 64, 4, 3, 512
 RATE = 0.1
 HELD = 1 << 18  # targets that a task puts in random order at a time
-PARTS = ("context", "target", "place")
+PARTS = ("context", "target", "place", "word")
 _HALF = math.log10(0.5)
 
 _LAST = np.zeros(256, np.int64)  # 0 letter, 1 full stop and the like, 2 comma and the like, 3 other
@@ -67,9 +70,25 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (length * LASTS + _LAST[data[ends - 1]]) * ACCENTS + accent
 
 
+@dataclass
+class Words:
+    """The words beyond the head that are symbols, those of a group beside one another: count and group of each, each group's first (and the end)."""
+
+    count: np.ndarray
+    group: np.ndarray
+    first: np.ndarray
+
+    def unit(self, symbol: np.ndarray) -> np.ndarray:
+        """What the first softmax chooses for a symbol."""
+        return np.where(symbol > START, SYMBOLS + np.concatenate([[0], self.group])[np.maximum(symbol - START, 0)], symbol)
+
+
+NO_WORDS = Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+
 @dataclass
 class Counts:
-    """What all tasks need of the training counts. hashes is sorted; symbol is -1 for words that aren't in the head."""
+    """What all tasks need of the training counts. hashes is sorted; symbol is -1 for words that are no symbols."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -79,6 +98,7 @@ class Counts:
     tokens: int
     distinct: int
     texts: int
+    words: Words
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -121,18 +141,25 @@ def _gathered(counts: DataFrame, texts: int) -> Counts:
     step = F.floor(F.log2("n") * 8)
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     tokens, distinct = sum(r["n"] for r in steps), sum(r["words"] for r in steps)
+    own = max(HEAD, GROWTH * math.isqrt(tokens))
     least, total = None, 0
     for r in steps:
         total += r["words"]
-        if total > TABLE:
+        if total > TABLE and total - r["words"] >= own:
             break
         least = r["step"]
     often = counts.where(step >= least) if least is not None else counts.limit(0)
     got = often.select("word", "shape", "n").toArrow()
     words, shape, n = (got.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((words, -n))[:HEAD]
+    order = np.lexsort((words, -n))[:own]
     symbol = np.full(len(words), -1, np.int64)
-    symbol[order] = np.arange(len(order))
+    symbol[order[:HEAD]] = np.arange(len(order[:HEAD]))
+    more = order[HEAD:]
+    more = more[np.lexsort((words[more], -n[more], shape[more]))]
+    symbol[more] = START + 1 + np.arange(len(more))
+    _, first, sizes = np.unique(shape[more], return_index=True, return_counts=True)
+    first = np.concatenate([*(np.arange(a, a + m, GROUP) for a, m in zip(first, sizes, strict=True)), [len(more)]]).astype(np.int64)
+    grouped = Words(n[more], np.repeat(np.arange(len(first) - 1), np.diff(first)), first)
     by_class = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
@@ -141,14 +168,14 @@ def _gathered(counts: DataFrame, texts: int) -> Counts:
     np.subtract.at(class_words, shape[order], 1)
     hashes = words.view(np.uint64)
     by_hash = np.argsort(hashes)
-    return Counts(hashes[by_hash], n[by_hash], symbol[by_hash], class_tokens, class_words, tokens + texts, distinct + (texts > 0), texts)
+    return Counts(hashes[by_hash], n[by_hash], symbol[by_hash], class_tokens, class_words, tokens + texts, distinct + (texts > 0), texts, grouped)
 
 
 # --- the symbol model ------------------------------------------------------------------------
 
 
 def _symbols(own: np.ndarray, offsets: np.ndarray, counts: Counts):
-    """Of a block: per word its symbol, class (where it is no head word), count if in the table or else -1, hash; each row's first word."""
+    """Of a block: per word its symbol, shape, whether that is its symbol, count if in the table or else -1, hash; each row's first word."""
     starts, ends, firsts = word_bounds(own, offsets)
     hashes = word_hashes(own, starts, ends)
     at = np.minimum(np.searchsorted(counts.hashes, hashes), max(0, len(counts.hashes) - 1))
@@ -174,11 +201,17 @@ def _chains(symbol: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return target, one, two, begin
 
 
-def _begun(unigram: np.ndarray, seed: int = 7) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """An untrained model and its Adagrad sums. A target's last column is its bias: the log of the smoothed unigram distribution."""
+def _inside(words: Words) -> np.ndarray:
+    """The share that each word has in its group."""
+    return words.count / np.bincount(words.group, weights=words.count, minlength=len(words.first) - 1)[words.group]
+
+
+def _begun(unigram: np.ndarray, words: Words, seed: int = 7) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """An untrained model and its Adagrad sums. The last column of a target or word is its bias: the log of its share among all (smoothed) or in its group."""
     rng = np.random.default_rng(seed)
+    drawn = lambda n: rng.normal(0, 0.1, (n, WIDTH))
     bias = np.log((unigram + 0.5) / (unigram + 0.5).sum())
-    m = {"context": rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)), "target": np.column_stack([rng.normal(0, 0.1, (SYMBOLS, WIDTH)), bias]), "place": np.ones((2, WIDTH))}
+    m = {"context": drawn(SYMBOLS + 1 + len(words.count)), "target": np.column_stack([drawn(len(unigram)), bias]), "place": np.ones((2, WIDTH)), "word": np.column_stack([drawn(len(words.count)), np.log(_inside(words))])}
     m = {k: v.astype(np.float32) for k, v in m.items()}
     return m, {k: np.full_like(v, 1e-2) for k, v in m.items()}
 
@@ -188,10 +221,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Learner:
-    """Noise-contrastive training with Adagrad. The noise is the smoothed unigram distribution of symbols; a batch shares its draws."""
+    """Noise-contrastive training with Adagrad. The noise is the smoothed unigram distribution, and a batch shares its draws; inside a group it is the group's own, drawn for each target."""
 
-    def __init__(self, model: dict[str, np.ndarray], grown: dict[str, np.ndarray], unigram: np.ndarray, seed: int):
+    def __init__(self, model: dict[str, np.ndarray], grown: dict[str, np.ndarray], unigram: np.ndarray, words: Words, seed: int):
         self.m, self.grown = ({k: v.copy() for k, v in x.items()} for x in (model, grown))
+        self.words, inside = words, _inside(words)
+        self.word_cum, self.word_base = np.concatenate([[0], np.cumsum(words.count)]), np.log(INNER * inside).astype(np.float32)
         self.steps = {k: np.zeros(len(v), np.int64) for k, v in model.items()}  # taken on each row
         noise = (unigram + 0.5) / (unigram + 0.5).sum()
         self.cum, self.base = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
@@ -211,35 +246,54 @@ class Learner:
         order = self.rng.permutation(len(target))
         for start in range(0, len(order), BATCH):
             i = order[start : start + BATCH]
-            own, place = target[i], self.m["place"]
+            own, place = self.words.unit(target[i]), self.m["place"]
             h1, h2 = self.m["context"][one[i]], self.m["context"][two[i]]
             hidden = np.column_stack([h1 * place[0] + h2 * place[1], np.ones(len(i), np.float32)])
-            drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), SYMBOLS - 1)
+            drawn = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
             true, noise = self.m["target"][own], self.m["target"][drawn]
             scale = np.float32(len(i) ** -0.5)
             miss = (_sigmoid((true * hidden).sum(axis=1) - self.base[own]) - 1)[:, None] * scale
             err = _sigmoid(hidden @ noise.T - self.base[drawn]) * scale
             dh = (miss * true + err @ noise)[:, :WIDTH]
+            grouped = np.flatnonzero(target[i] > START)
+            if len(grouped):
+                dh[grouped] += self._learn_words(target[i][grouped] - START - 1, hidden[grouped], scale)
             self._move("target", np.concatenate([own, drawn]), np.concatenate([miss * hidden, err.T @ hidden]))
             self._move("context", np.concatenate([one[i], two[i]]), np.concatenate([dh * place[0], dh * place[1]]))
             self._move("place", np.arange(2), np.stack([(dh * h1).sum(axis=0), (dh * h2).sum(axis=0)]))
 
 
+    def _learn_words(self, word: np.ndarray, hidden: np.ndarray, scale: np.float32) -> np.ndarray:
+        """A step on words inside their groups; the gradient of their contexts."""
+        group = self.words.group[word]
+        low, high = self.words.first[group], self.words.first[group + 1]
+        at = self.word_cum[low] + self.rng.random((INNER, len(word))) * (self.word_cum[high] - self.word_cum[low])
+        drawn = np.clip(np.searchsorted(self.word_cum, at, side="right") - 1, low, high - 1)
+        w = np.concatenate([word[None, :], drawn]).T
+        q = self.m["word"][w]
+        err = _sigmoid(np.einsum("bkd,bd->bk", q, hidden) - self.word_base[w])
+        err[:, 0] -= 1
+        err *= scale
+        self._move("word", w.ravel(), (err[:, :, None] * hidden[:, None, :]).reshape(-1, WIDTH + 1))
+        return np.einsum("bk,bkd->bd", err, q)[:, :WIDTH]
+
+
 def fitted(target: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """A model of these targets alone."""
     unigram = np.bincount(target, minlength=SYMBOLS)
-    own = Learner(*_begun(unigram, seed), unigram, seed)
+    own = Learner(*_begun(unigram, NO_WORDS, seed), unigram, NO_WORDS, seed)
     for _ in range(EPOCHS if len(target) else 0):
         own.learn(target, one, two)
-    return own.m
+    return own.m | {"group": NO_WORDS.group, "first": NO_WORDS.first}
 
 
 def _unigram(known: Counts) -> np.ndarray:
-    """How often each symbol is a target in training."""
-    out = np.zeros(SYMBOLS)
-    head = known.symbol >= 0
+    """How often the first softmax has each of its targets in training."""
+    out = np.zeros(SYMBOLS + len(known.words.first) - 1)
+    head = (known.symbol >= 0) & (known.symbol < HEAD)
     out[known.symbol[head]] = known.counts[head]
     out[HEAD:END], out[END] = known.class_tokens, known.texts
+    out[SYMBOLS:] = np.bincount(known.words.group, weights=known.words.count, minlength=len(out) - SYMBOLS)
     return out
 
 
@@ -260,7 +314,7 @@ def _trained(learnt: DataFrame, known: Counts, share: float) -> dict[str, np.nda
 
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     few = learnt.where(draw < share).orderBy("doc_id").select("text").mapInArrow(chains, "t binary, a binary, b binary").collect()
-    own = Learner(*_begun(unigram), unigram, 7)
+    own = Learner(*_begun(unigram, known.words), unigram, known.words, 7)
     first = [np.frombuffer(b"".join(r[i] for r in few), np.int32).astype(np.int64) for i in range(3)]
     for _ in range(EPOCHS):
         own.learn(*first)
@@ -269,7 +323,7 @@ def _trained(learnt: DataFrame, known: Counts, share: float) -> dict[str, np.nda
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, grown, unigram = shared.value
-        own, held = Learner(model, grown, unigram, 11 + TaskContext.get().partitionId()), []
+        own, held = Learner(model, grown, unigram, known.words, 11 + TaskContext.get().partitionId()), []
         for batch in batches:
             for found in block_chains(batch):
                 held.append(found)
@@ -292,23 +346,37 @@ def _trained(learnt: DataFrame, known: Counts, share: float) -> dict[str, np.nda
     means = np.stack([mean.column(v).to_numpy() for v in values], axis=1)
     for k, name in enumerate(PARTS):
         model[name][row[part == k]] = means[part == k][:, : model[name].shape[1]]
-    return model
+    return model | {"group": known.words.group, "first": known.words.first}
 
 
 def log_probabilities(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log10 of each target's normalised probability; a context that recurs is computed once, contexts in batches of matrix products."""
-    keys, back = np.unique(one * (SYMBOLS + 1) + two, return_inverse=True)
+    context, place, size = model["context"], model["place"], len(model["context"])
+    unit = Words(target, model["group"], model["first"]).unit(target)
+    keys, back = np.unique(one * size + two, return_inverse=True)
     order = np.argsort(back, kind="stable")
     bounds = np.searchsorted(back[order], np.arange(0, len(keys) + 4096, 4096))
     out = np.empty(len(target))
+
+    def logs(hidden: np.ndarray, choices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = hidden @ choices[:, :WIDTH].T + choices[:, WIDTH]
+        s -= s.max(axis=1, keepdims=True)
+        return s, np.log(np.exp(s).sum(axis=1))
+
     for n, at in enumerate(range(0, len(keys), 4096)):
         part = keys[at : at + 4096]
-        hidden = model["context"][part // (SYMBOLS + 1)] * model["place"][0] + model["context"][part % (SYMBOLS + 1)] * model["place"][1]
-        s = hidden @ model["target"][:, :WIDTH].T + model["target"][:, WIDTH]
-        s -= s.max(axis=1, keepdims=True)
-        z = np.log(np.exp(s).sum(axis=1))
+        s, z = logs(context[part // size] * place[0] + context[part % size] * place[1], model["target"])
         own = order[bounds[n] : bounds[n + 1]]
-        out[own] = s[back[own] - at, target[own]] - z[back[own] - at]
+        out[own] = s[back[own] - at, unit[own]] - z[back[own] - at]
+    grouped = np.flatnonzero(target > START)
+    grouped = grouped[np.argsort(unit[grouped], kind="stable")]
+    bounds = np.searchsorted(unit[grouped], SYMBOLS + np.arange(len(model["first"])))
+    for g in np.flatnonzero(np.diff(bounds)):
+        low, high = model["first"][g : g + 2]
+        for at in range(bounds[g], bounds[g + 1], 4096):
+            own = grouped[at : min(at + 4096, bounds[g + 1])]
+            s, z = logs(context[one[own]] * place[0] + context[two[own]] * place[1], model["word"][low:high])
+            out[own] += s[np.arange(len(own)), target[own] - START - 1 - low] - z
     return out / math.log(10)
 
 

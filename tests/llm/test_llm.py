@@ -258,3 +258,20 @@ def test_lm_learns_from_texts_outside_the_first_sample(spark):
         likely[kind] = lm_scoring.scored(df, F.col("doc_id") < 1000, F.col("doc_id") == 1000, sample=0).where("held_out").first()
     one, two = likely.values()
     assert one.base_score == two.base_score and one.score > two.score + 5, (one, two)
+
+
+def test_lm_word_symbols_grow_with_the_corpus(spark):
+    rng = random.Random(9)
+    pick = lambda: rng.choices(range(300), weights=[3] * 150 + [1] * 150, k=100)
+    text = lambda ks, shift=0: " ".join(f"a{100 + ks[i]} b{100 + ks[i - shift]}" for i in range(len(ks)))
+    rare = list(range(150, 300))  # beyond the first 250 words, and of one shape
+    rows = [(i, text(pick())) for i in range(600)] + [(1000, text(rare)), (1001, text(rare, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    paired, shifted = lm_scoring.scored(df, F.col("doc_id") < 1000, F.col("doc_id") >= 1000).where("held_out").orderBy("doc_id").collect()
+    assert np.isclose(paired.base_score, shifted.base_score) and paired.score > shifted.score + 20
+    learnt = df.where("doc_id < 1000")
+    known = lm_scoring._gathered(lm_scoring._word_counts(learnt), 600)
+    assert len(known.words.count) == 600 - lm_scoring.HEAD
+    model = lm_scoring._trained(learnt, known, 0.1)
+    every = np.concatenate([np.arange(lm_scoring.SYMBOLS), lm_scoring.START + 1 + np.arange(len(known.words.count))])
+    assert np.isclose((10 ** lm_scoring.log_probabilities(model, np.full_like(every, 400), np.full_like(every, 2), every)).sum(), 1, atol=1e-4)
