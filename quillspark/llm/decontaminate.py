@@ -4,8 +4,9 @@ Words are split at white space after lower-casing. A mask takes some positions o
 others, so a hash over the taken words still meets after a substitution at an ignored place. Hashes of all windows of the
 test items join those of all windows of the documents; around each hit the words of the document are laid against the
 item's, and the overlap counts if some stretch of STRETCH words (or the whole item, if shorter) agrees in AGREE of its
-words. All masks take the window's first two words: windows whose first two words follow one another in no item are put
-aside before any mask is hashed.
+words. A mask takes two of a window's four pairs of words, and there is one for each choice: two substitutions leave two
+pairs whole. Every stretch that counts therefore has a hit, wherever its substitutions are (tests/llm goes through all of
+them); only hashes of 64 bits that collide could add a hit, and the words are compared after that.
 
 The item side is broadcast while it has at most BROADCAST_WORDS words, which is counted; beyond that the same joins run
 as shuffles. Nothing is grouped by item, so a passage that many documents hold makes no hot key.
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 8
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 6, 7), (0, 1, 2, 3, 4, 5))
+MASKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (2, 3, 4, 5), (2, 3, 6, 7), (4, 5, 6, 7))
 STRETCH, AGREE = 13, 0.75
-BROADCAST_WORDS = 500_000
+BROADCAST_WORDS = 250_000
 
 
 def _words(text: str) -> Column:
@@ -48,12 +49,10 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     size = tests.agg(F.sum(F.greatest(F.size("words"), F.lit(0)))).first()[0] or 0
     near = F.broadcast if size <= BROADCAST_WORDS else (lambda df: df)
     inner = _windows(tests)
-    firsts = inner.select(F.xxhash64("w0", "w1").alias("pair")).distinct()
     seeds = inner.select("item_id", F.col("at").alias("item_at"), F.explode(_seeds()).alias("seed")).distinct()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _words(text_col).alias("words")).where("doc_id is not null")
-    seen = _windows(own).withColumn("pair", F.xxhash64("w0", "w1")).join(near(firsts), "pair", "left_semi")
-    hits = seen.select("doc_id", "words", "at", F.explode(_seeds()).alias("seed")).join(near(seeds), "seed")
+    hits = _windows(own).select("doc_id", "words", "at", F.explode(_seeds()).alias("seed")).join(near(seeds), "seed")
     met = hits.join(near(tests.select("item_id", F.col("words").alias("item"))), "item_id")
     # the item laid over the document: from its word `lo` on, as far as both reach
     start = F.col("at") - F.col("item_at")

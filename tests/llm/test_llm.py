@@ -275,3 +275,21 @@ def test_lm_word_symbols_grow_with_the_corpus(spark):
     model = lm_scoring._trained(learnt, known, 0.1)
     every = np.concatenate([np.arange(lm_scoring.SYMBOLS), lm_scoring.START + 1 + np.arange(len(known.words.count))])
     assert np.isclose((10 ** lm_scoring.log_probabilities(model, np.full_like(every, 400), np.full_like(every, 2), every)).sum(), 1, atol=1e-4)
+
+
+def test_seeds_hit_every_stretch_that_counts():
+    import itertools
+    import math
+
+    for n in range(decontaminate.SPAN, decontaminate.STRETCH + 1):
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.AGREE)):
+            assert any(not {at + i for i in mask} & set(gone) for at in range(n - decontaminate.SPAN + 1) for mask in decontaminate.MASKS), (n, gone)
+
+
+def test_copies_with_every_fourth_word_replaced(spark):
+    rng = random.Random(11)
+    items = {n: [f"{w}{n}" for w in words(rng, n).split()] for n in (8, 12, 13, 16, 40)}
+    rows = [(10 * n + phase, " ".join(f"new{i}" if i % 4 == phase else w for i, w in enumerate(item))) for n, item in items.items() for phase in range(4)]
+    want = sorted((i, i // 10) for i, t in rows if i // 10 != 13 or i % 10)  # at phase 0 four of 13 words are replaced
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
