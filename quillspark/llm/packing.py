@@ -3,8 +3,9 @@
 Documents become pieces of at most `capacity` token ids (only longer documents are cut). Pieces are dealt to partitions of
 about PART pieces; each runs best-fit decreasing. The sum of a dual feasible function over a partition's sizes, divided by
 its bound, never exceeds the bins that any packing needs, so a partition whose bin count equals the best such sum is
-certified and ends. A partition with a gap releases its least full bins; their pieces are exchanged with those of FAN other
-partitions and packed again, until one partition is left. The bins that stay and the last round's are the result.
+certified and ends. A partition with a gap releases all of its loose bins; their pieces are dealt anew to partitions of about
+PART and packed again, until nothing is loose, one partition has held all of them, or a round takes as many bins as were
+released, in which case these stay as they were.
 
 Defined cases. A null or empty text is its end id alone. Repeated rows are packed as often as they come; null ids are
 carried along. An empty table gives no rows. Other columns are not looked at. Texts of any length are taken whole.
@@ -27,8 +28,6 @@ from .common import blocks, bounded, buffers, dropped, mark, stored, word_hashes
 CAPACITY = 4096
 END_ID = 1
 PART = 8192
-FAN = 32
-RELEASED = 64  # of a partition's bins at most, the least full first
 SLACK = 32  # free places from which a bin is worth releasing
 _MOST_UNITS = 1_000_000  # kept by a worker, some 40 MB; then it starts anew
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
@@ -212,11 +211,10 @@ def _packed(capacity: int, last: bool, turn: int):
         room = capacity - np.bincount(bins, weights=sizes, minlength=n)
         free = np.zeros(n, bool)
         if not last and n * capacity > sizes.sum() + SLACK and not (n == bound and room.max() <= SLACK):
-            loose = np.argsort(-room, kind="stable")[:RELEASED]
-            free[loose[room[loose] > SLACK]] = True
+            free = room > SLACK
             if n == bound and -(-(n * capacity - int(room.sum())) // capacity) < bound:
                 free[:] = False  # sizes themselves need these bins, not chance
-        base = (turn << 56) + (int(part["part"].iat[0]) << 24)
+        base = (turn << 48) + (int(part["part"].iat[0]) << 24)
         return part.assign(sequence_id=base + bins, offset=places, free=free[bins])
 
     return run
@@ -226,18 +224,22 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
     since = mark()
     left = stored(pieces(docs, path, capacity, id_col, text_col), "pieces")
-    parts = max(1, -(-left.count() // PART))
-    left = left.withColumn("part", F.pmod("salt", F.lit(parts)))
+    parts, bins = max(1, -(-left.count() // PART)), None
     done, turn = None, 0
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, part long, sequence_id long, offset long, free boolean"
     while True:
-        ran = stored(left.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "part").groupBy("part").applyInPandas(_packed(capacity, parts == 1, turn), schema), "packed")
-        kept = ran.where("not free").drop("salt", "part", "free")
+        dealt = left.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(parts)).alias("part"))
+        ran = stored(dealt.groupBy("part").applyInPandas(_packed(capacity, parts == 1, turn), schema), "packed")
+        gained = bins is None or ran.select("sequence_id").distinct().count() < bins
+        kept = (ran.where("not free") if gained else left).drop("salt", "part", "free")
         done = kept if done is None else done.unionByName(kept)
-        if parts == 1:
+        if not gained:
             break
-        left = ran.where("free").select("doc_id", "piece", "start", "length", "ids_crc32", "salt", F.floor(F.col("part") / FAN).alias("part"))
-        parts, turn = -(-parts // FAN), turn + 1
+        left = ran.where("free")
+        bins, most = left.agg(F.countDistinct("sequence_id"), F.count("*")).first()
+        if not bins:
+            break
+        parts, turn = -(-most // PART), turn + 1
     out = stored(done, "sequences")
     dropped(docs.sparkSession, since, keep=1)
     return out

@@ -293,3 +293,20 @@ def test_copies_with_every_fourth_word_replaced(spark):
     want = sorted((i, i // 10) for i, t in rows if i // 10 != 13 or i % 10)  # at phase 0 four of 13 words are replaced
     got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
+
+
+def test_all_loose_bins_are_exchanged(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1365, 4097, 32768)
+    rows = spark.createDataFrame([(i, 0, 0, int(n), 0, int(s)) for i, (n, s) in enumerate(zip(sizes, rng.integers(0, 1 << 62, len(sizes)), strict=True))], "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    monkeypatch.setattr(packing, "pieces", lambda *a: rows)
+    got = packing.packed(rows, "", 4096).select("doc_id", "sequence_id", "offset", "length").toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(sizes))) and got.groupby("sequence_id")["length"].sum().max() <= 4096
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got["offset"] == got.groupby("sequence_id")["length"].cumsum() - got["length"]).all()
+    import pandas as pd
+
+    sizes = rng.integers(1365, 4097, packing.PART)
+    one = packing._packed(4096, False, 0)(pd.DataFrame({"length": sizes, "salt": range(len(sizes)), "part": 0}))
+    room = 4096 - one.groupby("sequence_id")["length"].transform("sum")
+    assert (one["free"] == (room > packing.SLACK)).all() and one.loc[one["free"], "sequence_id"].nunique() > 64
