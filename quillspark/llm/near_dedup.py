@@ -221,7 +221,7 @@ def components(edges: DataFrame, label: str = "parts") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (the component's first document), links (classes linked with its own)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (the component's first document), links (confirmed links of its class that the search for components made use of; members of a component are not all compared, so other near copies may be more)."""
     spark = docs.sparkSession
     since = mark()
     own = stored(sketches(docs, k, id_col, text_col), "sketches")
