@@ -7,8 +7,8 @@ from the root through mismatching branches only, and ends at the records that ar
 A record's leaf is an order-free sum over its rows (a count and two sums of hashes), so a repeated offset makes no group to
 collect; a node's parts are FAN at most.
 
-Defined cases. A null field differs from an empty one. Rows without an offset, or with a negative one, are left out. Two
-empty replicas are equal. Repeated rows count: a replica with one more has a changed record. Other columns are not looked at.
+Defined cases. A null field differs from an empty one. Negative offsets, and all rows without an offset as
+one record (record_id null), are a branch of their own, outside the ranges. Two empty replicas are equal. Repeated rows count: a replica with one more has a changed record. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def leaves(records: DataFrame, offset: str, fields: list[str]) -> DataFrame:
     """node (the offset) and hash of each record."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("null")) for f in fields]
     digest = F.sha2(F.to_json(F.array(*parts)), 256)
-    rows = records.select(F.col(offset).cast("long").alias("node"), digest.alias("d")).where("node >= 0")
+    rows = records.select(F.col(offset).cast("long").alias("node"), digest.alias("d"))
     wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "d").cast("decimal(38,0)")).cast("string")
     return rows.groupBy("node").agg(F.count("*").alias("n"), wide(1).alias("a"), wide(2).alias("b"), F.min("d").alias("d")).select("node", F.sha2(F.concat_ws(" ", F.col("n").cast("string"), "a", "b", "d"), 256).alias("hash"))
 
@@ -38,9 +38,10 @@ def above(level: DataFrame) -> DataFrame:
 
 
 def trees(one: DataFrame, two: DataFrame, offset: str, fields: list[str]) -> list[tuple[DataFrame, DataFrame]]:
-    """Levels of both replicas, from records up to one root."""
+    """Levels of both replicas, from records (those outside the ranges too) up to one root."""
     a, b = (stored(leaves(x, offset, fields), "leaves") for x in (one, two))
     levels, most = [(a, b)], max(x.agg(F.max("node")).first()[0] or 0 for x in (a, b))
+    a, b = (x.where("node >= 0") for x in (a, b))
     while most > 0:
         a, b = stored(above(a), "level"), stored(above(b), "level")
         levels.append((a, b))
@@ -54,13 +55,16 @@ def audit(one: DataFrame, two: DataFrame, offset: str, fields: list[str]) -> Dat
     levels = trees(one, two, offset, fields)
     open_: DataFrame | None = None
     for a, b in reversed(levels):
-        a, b = (x.select("node", F.col("hash").alias(h)) for x, h in ((a, "ha"), (b, "hb")))
+        a, b = (x.select("node", F.col("hash").alias(h)).where("node >= 0") for x, h in ((a, "ha"), (b, "hb")))
         if open_ is not None:
             up = F.floor(F.col("node") / FAN).cast("long")
             a, b = (x.withColumn("up", up).join(open_, "up", "left_semi").drop("up") for x in (a, b))
         differ = a.join(b, "node", "left").where("hb is null or ha <> hb").unionByName(b.join(a, "node", "left_anti"), allowMissingColumns=True)
         found = stored(differ, "differ")
         open_ = found.select(F.col("node").alias("up"))
+    a, b = (x.where("node is null or node < 0").select("node", F.col("hash").alias(h)) for x, h in zip(levels[0], ("ha", "hb"), strict=True))
+    both = a.unionByName(b, allowMissingColumns=True).groupBy("node").agg(F.max("ha").alias("ha"), F.max("hb").alias("hb"))
+    found = found.select("node", "ha", "hb").unionByName(both.where("not (ha <=> hb)"))
     fault = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("changed")
     out = stored(found.select(F.col("node").alias("record_id"), fault.alias("fault")), "faults")
     dropped(one.sparkSession, since, keep=1)

@@ -14,3 +14,11 @@ def test_audit_finds_exactly_the_differences(spark):
     assert got == {37 * 20: "missing", bad[40][0]: "changed", 5: "changed", 37 * 299 + 70_000: "added"}
     assert fixity.audit(one, one, "at", ["body"]).count() == 0
     assert fixity.audit(one.limit(0), one.limit(0), "at", ["body"]).count() == 0
+
+
+def test_rows_without_an_offset_are_audited(spark):
+    rows = [(0, "a", 0), (700, "b", 0), (-5, "c", 0), (-6, "d", 0), (-7, "same", 0), (None, "e", 0), (None, "f", 0)]
+    bad = [*rows[:2], (-5, "flipped", 0), (-7, "same", 0), (-8, "new", 0), (None, "f", 0), (None, "g", 0)]
+    one, two = spark.createDataFrame(rows, KIND), spark.createDataFrame(bad, KIND)
+    assert {r.record_id: r.fault for r in fixity.audit(one, two, "at", ["body"]).collect()} == {-5: "changed", -6: "missing", -8: "added", None: "changed"}
+    assert fixity.audit(one, one, "at", ["body"]).count() == 0
