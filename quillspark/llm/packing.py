@@ -3,9 +3,11 @@
 Documents become pieces of at most `capacity` token ids (only longer documents are cut). Pieces are dealt to partitions of
 about PART pieces; each runs best-fit decreasing. The sum of a dual feasible function over a partition's sizes, divided by
 its bound, never exceeds the bins that any packing needs, so a partition whose bin count equals the best such sum is
-certified and ends. A partition with a gap releases all of its loose bins; their pieces are dealt anew to partitions of about
-PART and packed again, until nothing is loose, one partition has held all of them, or a round takes as many bins as were
-released, in which case these stay as they were.
+certified: by itself it can gain nothing. A partition with a gap releases all of its loose bins, and a certified one those
+that its pieces' sum alone does not need, since others' pieces may fill them; the released pieces are dealt anew to
+partitions of about PART and packed again, until nothing is loose, one partition has held all of them, or a round takes as many bins as were
+released, in which case these stay as they were. Each piece carries the certificate of the partition that placed it:
+part_bins, the bins of that partition, and part_bound, the fewest that any packing of its pieces needs.
 
 Defined cases. A null or empty text is its end id alone. Repeated rows are packed as often as they come; null ids are
 carried along. An empty table gives no rows. Other columns are not looked at. Texts of any length are taken whole.
@@ -112,7 +114,7 @@ class Spelled:
                 self.clear()
                 known[:] = False
             raw = data.tobytes()
-            self._learn(units[~known], [raw[starts[i] : ends[i]].decode("utf-8", "replace").lower() for i in where[~known]])
+            self._learn(units[~known], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in where[~known]])  # lower-casing is left to the tokenizer, whose rules differ from Python's
         if not len(units):
             yield from (np.zeros(0, np.uint32) for _ in range(len(offsets) - 1))
             return
@@ -215,18 +217,18 @@ def _packed(capacity: int, last: bool, turn: int):
             if n == bound and -(-(n * capacity - int(room.sum())) // capacity) < bound:
                 free[:] = False  # sizes themselves need these bins, not chance
         base = (turn << 48) + (int(part["part"].iat[0]) << 24)
-        return part.assign(sequence_id=base + bins, offset=places, free=free[bins])
+        return part.assign(sequence_id=base + bins, offset=places, part_bins=n, part_bound=bound, free=free[bins])
 
     return run
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound for every piece of every document."""
     since = mark()
     left = stored(pieces(docs, path, capacity, id_col, text_col), "pieces")
     parts, bins = max(1, -(-left.count() // PART)), None
     done, turn = None, 0
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, part long, sequence_id long, offset long, free boolean"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, part long, sequence_id long, offset long, part_bins long, part_bound long, free boolean"
     while True:
         dealt = left.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(parts)).alias("part"))
         ran = stored(dealt.groupBy("part").applyInPandas(_packed(capacity, parts == 1, turn), schema), "packed")
