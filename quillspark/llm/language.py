@@ -2,11 +2,13 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum, over all
 ways to cut it into pieces, of the product of their probabilities, by the forward algorithm; training reestimates the
-probabilities with forward and backward sums (ROUNDS of EM). Words are runs of letters, lower-cased, behind the
-vocabulary's word mark; longer ones than LONGEST are cut there. A text's score for a language is the sum over its words.
+probabilities with forward and backward sums (ROUNDS of EM). All pieces of letters take part, of any length. Words are runs
+of letters (Unicode category L) with the marks that follow them, lower-cased, behind the vocabulary's word mark; words of
+more than LONGEST characters are taken in parts of LONGEST. A text's score for a language is the sum over its words.
 
-Training takes whole texts of at most about `per_language` documents of each language, chosen by a hash of their id; the
-bound is a parameter. The languages themselves are counted over all training rows.
+Training takes whole texts of at most about `per_language` documents of each language, chosen by a hash of their id, and
+the `languages` values of lang that most training rows have; both bounds are parameters. Languages are counted over all
+training rows.
 
 Defined cases. A null text, or one without a letter, is `und` with score 0. With no training row every text is. Repeated
 rows are scored each. A language of null takes no part in training. Other columns are not looked at.
@@ -14,8 +16,11 @@ rows are scored each. A language of null takes no part in training. Other column
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,10 +36,10 @@ UNKNOWN = "und"
 PER_LANGUAGE = 800
 ROUNDS = 3
 LONGEST = 40  # letters of a word taken at a time
-PIECE = 12  # characters of a piece at most
+LANGUAGES = 256  # learnt at most: the model has a row for each
 STRAY = 1e-7  # of a character that no piece is
 _MARK = "▁"
-_WORDS = re.compile(r"[^\W\d_]+")
+_FAST = re.compile(r"[^\W\d_]+")  # letters, and numerals such as a half
 _MOST_WORDS = 200_000  # whose scores a worker keeps
 
 
@@ -44,12 +49,29 @@ def pieces_of(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     known = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    fit = sorted({p for p in known if len(p) <= PIECE and (b := p.removeprefix(_MARK)) == b.lower() and (not b or b.isalpha())})
+    fit = sorted({p for p in known if (b := p.removeprefix(_MARK)) == b.lower() and all(unicodedata.category(c)[0] in "LM" for c in b)})
     return {p: i for i, p in enumerate(fit)}
 
 
+@functools.lru_cache(maxsize=1)
+def _pattern() -> re.Pattern[str]:
+    """Letters with the marks behind them, as one class of characters each: `re` knows no categories, and runs over classes fast."""
+
+    def ranges(kinds: str) -> str:
+        held = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] in kinds]
+        first = [c for k, c in enumerate(held) if not k or held[k - 1] != c - 1]
+        last = [c for k, c in enumerate(held) if k + 1 == len(held) or held[k + 1] != c + 1]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
 def cut(text: str) -> list[str]:
-    words = _WORDS.findall(text.lower())
+    low = text.lower()
+    plain = low.isascii() or int(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).max()) < 0x300  # below the first mark
+    words = _FAST.findall(low) if plain else []
+    if not plain or words and not "".join(words).isalpha():
+        words = _pattern().findall(low)
     return [w for x in words for w in ([x] if len(x) <= LONGEST else [x[i : i + LONGEST] for i in range(0, len(x), LONGEST)])]
 
 
@@ -58,10 +80,10 @@ class Finder:
 
     def __init__(self, pieces: dict[str, int]):
         self.mul = U64(0x9E3779B97F4A7C15)
-        self.powers = np.cumprod(np.concatenate([[U64(1)], np.full(LONGEST + 1, self.mul)]))
+        self.powers = np.cumprod(np.concatenate([[U64(1)], np.full(max([LONGEST, *map(len, pieces)]) + 1, self.mul)]))
         self.shift = U64(64 - 19)
         self.keys, self.ids = np.zeros(1 << 19, np.uint64), np.full(1 << 19, -1, np.int32)
-        self.probes = 1
+        self.probes, self.longest = 1, max(map(len, pieces), default=1)
         for p, i in pieces.items():
             h = self.prefix(np.array([[ord(c) for c in p]], np.uint32))[0, -1]
             at, n = int(((np.array([h]) * self.mul) >> self.shift)[0]), 1
@@ -93,7 +115,7 @@ def _lattices(words: list[str], finder: Finder) -> Iterator[tuple[np.ndarray, np
     for i, w in enumerate(words):
         by_length[len(w) + 1].append(i)
     for n, own in by_length.items():
-        most = min(n, PIECE)
+        most = min(n, finder.longest)
         for at in range(0, len(own), 2048):
             part = own[at : at + 2048]
             codes = np.frombuffer("".join(_MARK + words[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
@@ -159,17 +181,15 @@ def fitted(counts: dict[str, Counter], pieces: dict[str, int]) -> tuple[list[str
     return langs, probs
 
 
-def train(docs: DataFrame, training: Column, path: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, dict[str, int]]:
+def train(docs: DataFrame, training: Column, path: str, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray, dict[str, int]]:
     """docs: doc_id, text, lang; training: which rows may be learnt from. Shares are set by counts, so that each language gives about per_language documents or all it has."""
     pieces = pieces_of(path)
     rows = docs.where(training & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not sizes:
         return [], np.zeros((0, max(1, len(pieces)))), pieces
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = F.lit(False)
-    for lang, n in sizes.items():
-        few = few | ((F.col("lang") == lang) & (draw < min(1.0, per_language / n)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes.items()], "lang string, share double")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = defaultdict(Counter)
@@ -182,7 +202,8 @@ def train(docs: DataFrame, training: Column, path: str, per_language: int = PER_
     counts = defaultdict(Counter)
     for x in sizes:
         counts[x]  # a language whose sample is empty is still known
-    got = rows.where(few).select("text", "lang").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    few = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # shares: `languages` rows at most
+    got = few.select("text", "lang").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     for x, w, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True):
         counts[x][w] = n
     return (*fitted(counts, pieces), pieces)
