@@ -6,10 +6,12 @@ others), how near such words stand to a second person, capitals, punctuation, an
 look-alikes (after undoing them the word is in a lexicon) and letters repeated.
 
 Training takes at most about `bound` labelled rows, a parameter, chosen by a hash of their id and cut into three parts:
-one gives the lexicon, two the trees; for the calibration each of the two is scored by trees of the other.
+one gives the lexicon, two the trees; for the calibration each of the two is scored by trees of the other. The lexicon
+holds all words and beginnings that pass, each of which is in three toxic texts of the sample or more, so that its size
+hangs on `bound` and not on the corpus.
 
-Defined cases. A null text counts as empty; empty texts have all rates 0 and are scored like any. Labels of null take no
-part; several labels of a document are as many rows. Without both labels in training all scores are the share of toxic
+Defined cases. A null text counts as empty; empty texts have all rates 0 and are scored like any. Labels other than 0 and 1
+take no part; several labels of a document are as many rows. Without both labels in training all scores are the share of toxic
 rows (0 without rows). Repeated rows are scored each. Other columns are not looked at.
 """
 
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import blocks, bounded, buffers, word_bounds, word_hashes
 
 BOUND = 24_000
-LEXICON = 20_000
 STEMS = (4, 5, 6)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 NEAR = 5  # words
@@ -197,7 +198,7 @@ def calibrated(steps: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.nd
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = BOUND) -> dict:
     """docs: doc_id, text; labels: doc_id, toxic; training: which doc_ids may be learnt from."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(training & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model = {"words": np.zeros(0, np.uint64), "stems": np.zeros(0, np.uint64), "share": toxic / n if n else 0.0}
     if not 0 < toxic < n:
@@ -226,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = BOU
     if seen[0] and seen[1] > seen[0]:
         odds = F.log((F.col("bad") + 0.5) / (seen[0] + 1)) - F.log((F.col("good") + 0.5) / (seen[1] - seen[0] + 1))
         found = third(0).mapInArrow(keys, "key long, stem int, bad long, good long").groupBy("key", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        found = found.where((F.col("bad") >= max(3, seen[0] // 250)) & (odds >= 2.5)).orderBy(F.desc(odds), "key").limit(LEXICON).select("key", "stem").collect()
+        found = found.where((F.col("bad") >= max(3, seen[0] // 250)) & (odds >= 2.5)).select("key", "stem").collect()
         for name, kind in (("words", 0), ("stems", 1)):
             model[name] = np.sort(np.array([r["key"] for r in found if r["stem"] == kind], np.int64).view(np.uint64))
     words, stems = model["words"], model["stems"]
