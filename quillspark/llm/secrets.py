@@ -1,12 +1,14 @@
 """Secrets in text: named patterns, and strings that a public token vocabulary spells badly.
 
 A byte-pair vocabulary covers prose with few tokens, random strings with many. A candidate is a run of LEAST or more of
-`[A-Za-z0-9+/_=-]` that mixes digits with letters; it is a `random` span if its characters per token stay under RATIO.
-Before that, known digests (hex of a usual digest's length) and identifiers (UUIDs, dates with times, versions, words
-joined by - or _ or /, one digit run behind a word) are set aside, as is what a named pattern has found. Named kinds:
-assign, access and hex, see PATTERNS.
-
-Defined cases. A null text counts as empty: no spans. Repeated rows are each scanned. Texts of any length are taken whole.
+`[A-Za-z0-9+/_=-]`; it is a `random` span if its characters per token stay under RATIO. Before that, known digests (hex of
+a usual digest's length) and identifiers are set aside: UUIDs, numbers, and names, paths and versions, whose parts between
+- _ / = + are words (few changes of case, and spelled well if long) with up to four digits behind them, or numbers of up to
+14 digits. A run that named spans cover whole is theirs; one that reaches beyond them is judged as a whole, and its span
+stands beside theirs. Named kinds: assign, access and hex, see PATTERNS.
+
+Defined cases. A null text counts as empty: no spans. Repeated rows are each scanned. Texts of any length are taken whole,
+in time proportional to it. Other columns, whatever their names, are not looked at, and redacted() returns them as they are.
 Positions are code points, ends exclusive.
 """
 
@@ -35,10 +37,12 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGESTS = (32, 40, 56, 64, 96, 128)
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
-_DIGIT = re.compile(r"\d", _FLAGS)
 _HEXED = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-_NAMED = re.compile(r"(?:[A-Za-z]+\d{0,4}|\d{1,14})(?:[-_/=+]+(?:[A-Za-z]+\d{0,4}|\d{1,14}))*[-_/=+]*")
+_PARTS = re.compile(r"[-_/=+]+")
+_WORD = re.compile(r"([A-Za-z]+)\d{0,4}|\d{1,14}", _FLAGS)
+_CASED = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+LONG_WORD = 12  # letters from which a word of an identifier must be spelled well itself
 _ENCODERS: dict[str, object] = {}
 
 
@@ -53,13 +57,26 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def _ratio(run: str, path: str) -> float:
+    return len(run) / len(encoder(path).encode_ordinary(run))
+
+
+def _identifier(run: str, path: str) -> bool:
+    for part in filter(None, _PARTS.split(run)):
+        word = _WORD.fullmatch(part)
+        if not word:
+            return False
+        if letters := word[1]:
+            if len(letters) < 3 * len(_CASED.findall(letters)) and len(letters) > 3 or len(letters) >= LONG_WORD and _ratio(letters, path) < RATIO:
+                return False
+    return True
+
+
 def improbable(run: str, path: str) -> bool:
     """Whether a run of characters is random by its characters per token."""
-    if not _DIGIT.search(run) or run.isdigit():
-        return False
-    if _UUID.fullmatch(run) or _NAMED.fullmatch(run) or _HEXED.fullmatch(run) and len(run) in DIGESTS:
+    if run.isdigit() or _UUID.fullmatch(run) or _HEXED.fullmatch(run) and len(run) in DIGESTS:
         return False
-    return len(run) / len(encoder(path).encode_ordinary(run)) < RATIO
+    return _ratio(run, path) < RATIO and not _identifier(run, path)
 
 
 def find(text: str, path: str) -> list[tuple[int, int, int]]:
@@ -70,13 +87,15 @@ def find(text: str, path: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    if _DIGIT.search(text) or len(text) >= 16:
-        spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    named = list(spans)
-    if _DIGIT.search(text):
-        for m in _CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in named) and improbable(m[0], path):
-                spans.append((m.start(), 3, m.end()))
+    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    spans.sort()
+    named, i, reach = len(spans), 0, 0  # reach: how far named spans that begin before a place cover without a gap
+    for m in _CANDIDATE.finditer(text):
+        while i < named and spans[i][0] <= max(m.start(), reach):
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach < m.end() and improbable(m[0], path):
+            spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
 
