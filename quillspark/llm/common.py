@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,40 +21,51 @@ BLOCK_BYTES = 4 << 20  # text bytes that one round of numpy temporaries covers
 WORD_BLOCK = 1 << 20
 ROWS_PER_BATCH = 1000
 _MUL = 0x9E3779B97F4A7C15 | 1
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []  # a list for each thread, so that operators that run at once leave each other's tables alone
+_LOCAL = threading.local()
 
 
 # --- scratch tables --------------------------------------------------------------------------
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (as in tests)."""
+    """The cluster's shared folder; a folder of our own only where none is named and all runs on this machine (as in tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _own() -> list[tuple[SparkSession, str]]:
+    if not hasattr(_LOCAL, "made"):
+        _LOCAL.made = []
+        _SCRATCH.append(_LOCAL.made)
+    return _LOCAL.made
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there, and every executor can read it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.append((spark, path))
+    _own().append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete scratch tables made after position `since`, but for the last `keep`: nothing reads them any more."""
-    end = len(_SCRATCH) - keep
-    for owner, path in _SCRATCH[since:end]:
+    """Delete this thread's scratch tables made after position `since`, but for the last `keep`: nothing reads them any more."""
+    made = _own()
+    end = len(made) - keep
+    for owner, path in made[since:end]:
         _delete(owner, path)
-    del _SCRATCH[since:end]
+    del made[since:end]
 
 
 def mark() -> int:
-    return len(_SCRATCH)
+    return len(_own())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -61,7 +76,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _SCRATCH:
+    for spark, path in (x for made in _SCRATCH for x in made):
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended before the interpreter does
@@ -76,6 +91,24 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+@functools.cache
+def single_threaded() -> None:
+    """Hold this process's matrix products to one thread: a task has one core, and threads beyond it only wait in loops."""
+    try:
+        from threadpoolctl import threadpool_limits
+
+        threadpool_limits(1, "blas")
+        return
+    except ImportError:
+        pass
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

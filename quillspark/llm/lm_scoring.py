@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded, buffers, dropped, mark, stored, word_bounds, word_hashes
+from .common import blocks, bounded, buffers, dropped, mark, single_threaded, stored, word_bounds, word_hashes
 
 HEAD = 250
 LENGTHS, LASTS, ACCENTS = 5, 4, 5
@@ -42,8 +42,9 @@ GROUP = 256
 GROWTH = 2
 TABLE = 100_000
 SAMPLE = 800
-WIDTH, NOISE, INNER, EPOCHS, BATCH = 16, 64, 4, 3, 512
+WIDTH, NOISE, INNER, EPOCHS, BATCH = 16, 64, 2, 3, 1024
 RATE = 0.1
+STEP = 512  # contexts in a batch of matrix products: the scores of a batch stay in a core's cache
 HELD = 1 << 18  # targets that a task puts in random order at a time
 PARTS = ("context", "target", "place", "word")
 _HALF = math.log10(0.5)
@@ -53,20 +54,17 @@ _LAST[: 128] = 3
 _LAST[65:91] = _LAST[97:123] = 0
 _LAST[[ord(c) for c in ".!?"]] = 1
 _LAST[[ord(c) for c in ",;:"]] = 2
-_KINDS = np.zeros((4, 256), np.int32)  # second bytes of two-byte letters, by the languages that use them most
-_KINDS[0, [0xA4, 0xB6, 0xBC, 0x9F]] = 1
-_KINDS[1, [0xA8, 0xA9, 0xAA, 0xA7, 0xA0]] = 1
-_KINDS[2, [0xB1, 0xAD, 0xB3, 0xA1, 0xBA]] = 1
-_KINDS[3, 0x80:] = 1
+_ACCENT = np.zeros(256, np.uint8)  # second bytes of two-byte letters, by the languages that use them most; the largest in a word counts
+_ACCENT[0x80:] = 1
+_ACCENT[[0xB1, 0xAD, 0xB3, 0xA1, 0xBA]] = 2
+_ACCENT[[0xA8, 0xA9, 0xAA, 0xA7, 0xA0]] = 3
+_ACCENT[[0xA4, 0xB6, 0xBC, 0x9F]] = 4
 
 
 def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The shape class of each word."""
+    """The shape class of each word of a text (starts rise)."""
     length = np.searchsorted([3, 5, 7, 10], ends - starts, side="left")
-    accent = np.zeros(len(starts), np.int64)
-    for k in (3, 2, 1, 0):
-        sums = np.concatenate([[0], np.cumsum(_KINDS[k][data], dtype=np.int64)])
-        accent = np.where(sums[ends] > sums[starts], k + 1, accent)
+    accent = np.maximum.reduceat(_ACCENT[data], starts).astype(np.int64) if len(starts) else np.zeros(0, np.int64)  # white space has none
     return (length * LASTS + _LAST[data[ends - 1]]) * ACCENTS + accent
 
 
@@ -78,9 +76,12 @@ class Words:
     group: np.ndarray
     first: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.units = np.concatenate([np.arange(START + 1), SYMBOLS + self.group])
+
     def unit(self, symbol: np.ndarray) -> np.ndarray:
         """What the first softmax chooses for a symbol."""
-        return np.where(symbol > START, SYMBOLS + np.concatenate([[0], self.group])[np.maximum(symbol - START, 0)], symbol)
+        return self.units[symbol]
 
 
 NO_WORDS = Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
@@ -100,6 +101,24 @@ class Counts:
     texts: int
     words: Words
 
+    def __post_init__(self) -> None:
+        n = len(self.hashes)
+        self.shift = np.uint64(64 - max(1, (4 * n).bit_length()))
+        self.first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+        self.probes = int(np.diff(self.first).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes in the table, and whether they are there: their top bits say where to look."""
+        at, known = np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            start = self.first[(hashes >> self.shift).astype(np.int64)]
+            for k in range(self.probes):
+                here = np.minimum(start + k, len(self.hashes) - 1)
+                hit = self.hashes[here] == hashes
+                at[hit] = here[hit]
+                known |= hit
+        return at, known
+
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     """word (its hash), shape, n over all texts. Each task sums what it has seen, up to a million words, before it sends."""
@@ -125,7 +144,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 starts, ends, _ = word_bounds(own, offsets[a : b + 1] - offsets[a])
                 if len(starts):
                     words, first, n = np.unique(word_hashes(own, starts, ends), return_index=True, return_counts=True)
-                    held.append((words, shapes(own, starts[first], ends[first]), n))
+                    held.append((words, shapes(own, starts, ends)[first], n))
                     if sum(len(h[0]) for h in held) > 1_000_000:
                         held[:] = [merged()]
                         if len(held[0][0]) > 1_000_000:
@@ -178,8 +197,7 @@ def _symbols(own: np.ndarray, offsets: np.ndarray, counts: Counts):
     """Of a block: per word its symbol, shape, whether that is its symbol, count if in the table or else -1, hash; each row's first word."""
     starts, ends, firsts = word_bounds(own, offsets)
     hashes = word_hashes(own, starts, ends)
-    at = np.minimum(np.searchsorted(counts.hashes, hashes), max(0, len(counts.hashes) - 1))
-    known = counts.hashes[at] == hashes if len(counts.hashes) else np.zeros(len(hashes), bool)
+    at, known = counts.find(hashes)
     shape = shapes(own, starts, ends) if len(starts) else np.zeros(0, np.int64)
     symbol = np.where(known, counts.symbol[at], -1) if len(counts.hashes) else np.full(len(hashes), -1)
     count = np.where(known, counts.counts[at], -1) if len(counts.hashes) else np.full(len(hashes), -1)
@@ -233,7 +251,7 @@ class Learner:
         self.rng = np.random.default_rng(seed)
 
     def _move(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         at, g = rows[first], np.add.reduceat(grads[order], first, axis=0)
@@ -262,7 +280,6 @@ class Learner:
             self._move("context", np.concatenate([one[i], two[i]]), np.concatenate([dh * place[0], dh * place[1]]))
             self._move("place", np.arange(2), np.stack([(dh * h1).sum(axis=0), (dh * h2).sum(axis=0)]))
 
-
     def _learn_words(self, word: np.ndarray, hidden: np.ndarray, scale: np.float32) -> np.ndarray:
         """A step on words inside their groups; the gradient of their contexts."""
         group = self.words.group[word]
@@ -322,6 +339,7 @@ def _trained(learnt: DataFrame, known: Counts, share: float) -> dict[str, np.nda
     shared = learnt.sparkSession.sparkContext.broadcast((model, own.grown, unigram))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_threaded()
         model, grown, unigram = shared.value
         own, held = Learner(model, grown, unigram, known.words, 11 + TaskContext.get().partitionId()), []
         for batch in batches:
@@ -353,30 +371,35 @@ def log_probabilities(model: dict[str, np.ndarray], one: np.ndarray, two: np.nda
     """log10 of each target's normalised probability; a context that recurs is computed once, contexts in batches of matrix products."""
     context, place, size = model["context"], model["place"], len(model["context"])
     unit = Words(target, model["group"], model["first"]).unit(target)
-    keys, back = np.unique(one * size + two, return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    bounds = np.searchsorted(back[order], np.arange(0, len(keys) + 4096, 4096))
+    key = one * size + two
+    order = np.argsort(key)
+    fresh = np.diff(key[order], prepend=-1) != 0
+    keys, back = key[order][fresh], np.cumsum(fresh) - 1  # back: of each place in order, its context
+    bounds = np.searchsorted(back, np.arange(0, len(keys) + STEP, STEP))
     out = np.empty(len(target))
 
-    def logs(hidden: np.ndarray, choices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = hidden @ choices[:, :WIDTH].T + choices[:, WIDTH]
-        s -= s.max(axis=1, keepdims=True)
-        return s, np.log(np.exp(s).sum(axis=1))
-
-    for n, at in enumerate(range(0, len(keys), 4096)):
-        part = keys[at : at + 4096]
-        s, z = logs(context[part // size] * place[0] + context[part % size] * place[1], model["target"])
+    def logs(one: np.ndarray, two: np.ndarray, choices: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of choice `at` in context `row`. Scores are small (vectors are), and a softmax without its maximum is safe below 80."""
+        hidden = np.column_stack([context[one] * place[0] + context[two] * place[1], np.ones(len(one), np.float32)])
+        s = hidden @ choices.T
+        if np.sqrt((hidden * hidden).sum(axis=1).max(initial=0) * (choices * choices).sum(axis=1).max(initial=0)) > 80:
+            s -= s.max(axis=1, keepdims=True)
+        own = s[row, at]
+        np.exp(s, out=s)
+        return own - np.log(s @ np.ones(s.shape[1], s.dtype))[row]
+
+    for n, at in enumerate(range(0, len(keys), STEP)):
+        part = keys[at : at + STEP]
         own = order[bounds[n] : bounds[n + 1]]
-        out[own] = s[back[own] - at, unit[own]] - z[back[own] - at]
+        out[own] = logs(part // size, part % size, model["target"], back[bounds[n] : bounds[n + 1]] - at, unit[own])
     grouped = np.flatnonzero(target > START)
     grouped = grouped[np.argsort(unit[grouped], kind="stable")]
     bounds = np.searchsorted(unit[grouped], SYMBOLS + np.arange(len(model["first"])))
     for g in np.flatnonzero(np.diff(bounds)):
         low, high = model["first"][g : g + 2]
-        for at in range(bounds[g], bounds[g + 1], 4096):
-            own = grouped[at : min(at + 4096, bounds[g + 1])]
-            s, z = logs(context[one[own]] * place[0] + context[two[own]] * place[1], model["word"][low:high])
-            out[own] += s[np.arange(len(own)), target[own] - START - 1 - low] - z
+        for at in range(bounds[g], bounds[g + 1], STEP):
+            own = grouped[at : min(at + STEP, bounds[g + 1])]
+            out[own] += logs(one[own], two[own], model["word"][low:high], np.arange(len(own)), target[own] - START - 1 - low)
     return out / math.log(10)
 
 
@@ -398,6 +421,7 @@ def scored(docs: DataFrame, training: Column, held_out: Column, sample: int = SA
     class_below = np.log10(known.class_tokens + 0.5 * (known.class_words + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_threaded()
         known, model = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column(1))
