@@ -1,11 +1,15 @@
-"""Tokens, phrases and word n-grams as column expressions (no Python per row)."""
+"""Tokens, phrases and word n-grams as column expressions (no Python per row).
+
+Whether a token is vocabulary takes a dozen patterns, so it is asked of distinct tokens after they are counted: see judged().
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .fold import composed
 
 
 def _trimmed(c: Column) -> Column:
@@ -39,22 +43,47 @@ def keeps(t: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(W.TOKEN), F.lit(0)), _trimmed)
+    return F.transform(F.regexp_extract_all(composed(text), F.lit(W.TOKEN), F.lit(0)), _trimmed)
 
 
 def tokens(text: Column) -> Column:
     return F.filter(raw_tokens(text), keeps)
 
 
+def judged(counts: DataFrame, *terms: str, n: str = "n") -> DataFrame:
+    """Rows of counted terms that are vocabulary. The condition names the count, so that it stays above the aggregation and
+    is asked once for each distinct term instead of at each of its places."""
+    good = F.lit(True)
+    for t in terms or ("term",):
+        good = good & keeps(F.col(t))
+    return counts.where(F.when(F.col(n) > 0, good))
+
+
+def linked_tokens(text: Column) -> Column:
+    """Raw tokens, each with the spaces, tabs or no-break spaces behind it where another token follows them at once."""
+    return F.regexp_extract_all(composed(text), F.lit(W.LINKED), F.lit(0))
+
+
+def words_and_pairs(text: Column) -> Column:
+    """Of one reading of a text: each token, and each pair of tokens with spaces alone between them as `a b`. Neither is judged."""
+
+    def of(found: Column) -> Column:
+        bare = F.transform(found, lambda t: F.btrim(F.lower(t), F.lit("-.' \t\u00a0")))
+        last = F.transform(found, lambda t: F.right(t, F.lit(1)).isin(" ", "\t", "\u00a0"))
+        trios = F.arrays_zip(bare.alias("a"), F.slice(bare, 2, F.greatest(F.size(bare), F.lit(1))).alias("b"), last.alias("near"))
+        return F.concat(bare, F.transform(F.filter(trios, lambda x: x["near"]), lambda x: F.concat(x["a"], F.lit(" "), x["b"])))
+
+    # bound once: an array of one element, so that the extraction is not repeated for each use
+    return F.flatten(F.transform(F.array(linked_tokens(text)), of))
+
+
+def is_pair(t: Column) -> Column:
+    return t.contains(" ")
+
+
 def phrases(text: Column) -> Column:
     """Adjacent kept tokens with spaces, tabs or no-break spaces alone between them."""
-    pieces = F.regexp_extract_all(text, F.lit(W.PIECE), F.lit(0))
-    n = F.size(pieces)
-    trios = F.arrays_zip(pieces.alias("a"), F.slice(pieces, 2, n).alias("s"), F.slice(pieces, 3, n).alias("b"))
-    word = lambda c: c.rlike(f"^[{W.LATIN}]")
-    near = F.filter(trios, lambda x: word(x["a"]) & word(x["b"]) & x["s"].rlike(r"^[ \t\x{00a0}]+$"))
-    pairs = F.transform(near, lambda x: F.struct(_trimmed(x["a"]).alias("a"), _trimmed(x["b"]).alias("b")))
-    return F.transform(F.filter(pairs, lambda p: keeps(p["a"]) & keeps(p["b"])), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    return F.filter(words_and_pairs(text), lambda t: is_pair(t) & keeps(F.split_part(t, F.lit(" "), F.lit(1))) & keeps(F.split_part(t, F.lit(" "), F.lit(2))))
 
 
 def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
@@ -71,4 +100,4 @@ def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
 
 def shingle_key(text: Column, n: int = 6) -> Column:
     """The first n raw tokens that are letters only: near-duplicate prompts share it."""
-    return F.concat_ws(" ", F.slice(F.filter(raw_tokens(text), lambda t: t.rlike(f"^[{W.LATIN}]+$")), 1, n))
+    return F.concat_ws(" ", F.slice(F.filter(raw_tokens(text), lambda t: t.rlike(W.LETTERS)), 1, n))

@@ -46,6 +46,17 @@ def pmi_phrases(phrase_counts: DataFrame, word_counts: DataFrame, n: int = 120,
     return x.orderBy((F.col("n") * F.col("pmi")).desc(), "term").limit(n).select("term", "n", "pmi")
 
 
+def pmi_pairs(pairs: DataFrame, words: DataFrame, n: int = 120, min_count: int = 4, min_pmi: float = 2.0) -> DataFrame:
+    """pmi_phrases() of pairs (a, b, n) that are not judged yet: a phrase is a pair of words of `words` (term, n), which the two joins find out and bring the counts for."""
+    side = lambda x: words.select(F.col("term").alias(x), F.col("n").alias(f"c{x}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    whole = x.agg(F.sum("n").alias("tp")).crossJoin(words.agg(F.sum("n").alias("tw")))  # one row
+    x = x.where(F.col("n") >= min_count).crossJoin(F.broadcast(whole))
+    pmi = F.log2((F.col("n") / F.col("tp")) / ((F.col("ca") / F.col("tw")) * (F.col("cb") / F.col("tw"))))
+    x = x.where(pmi >= min_pmi).select(F.concat_ws(" ", "a", "b").alias("term"), "n", F.round(pmi, 2).alias("pmi"))
+    return x.orderBy((F.col("n") * F.col("pmi")).desc(), "term").limit(n)
+
+
 def trends(counts: DataFrame, period: str, min_total: int = 8, n: int = 40) -> DataFrame:
     """Rising and fading terms between the earlier and the later half of the periods. counts: period, term, n."""
     # distinct periods are few: one window over them places the cut

@@ -17,6 +17,7 @@ from ..functions import words as W
 from ..operators import events as E
 from ..operators import score as S
 from ..operators import share
+from .layout import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,6 +46,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts take long to read: spread over all cores if it is small."""
+    return spread(_t(spark, d, name).select(*columns))
+
+
 # --- SQL that several checks share -----------------------------------------------------------
 
 
@@ -71,17 +77,19 @@ def _keep(t: str) -> str:
 _KEEP, _OPAQUE = _keep("t"), _opaque("t")
 
 
-def _toks(table: str, columns: str, where: str = "true") -> str:
-    return f"SELECT {columns}, t FROM (SELECT {columns}, trim(lower(unnest(regexp_extract_all(text, {_q(W.TOKEN)}))), '-.''') AS t FROM {table} WHERE {where})"
+_FOUND = f"regexp_extract_all(nfc_normalize(text), {_q(W.token_re2())})"
 
 
+def _toks(table: str, columns: str, where: str = "true") -> str:
+    return f"SELECT {columns}, t FROM (SELECT {columns}, trim(lower(unnest({_FOUND})), '-.''') AS t FROM {table} WHERE {where})"
+
 _TERMS = f"raw AS ({_toks('documents', 'doc_id, lang')}), kept AS (SELECT * FROM raw WHERE {_KEEP}), df AS (SELECT lang, t AS term, count(DISTINCT doc_id) AS n FROM kept GROUP BY ALL)"
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency of kept tokens by language."""
-    docs = _t(spark, d, "documents")
-    return docs.select("lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    found = _texts(spark, d, "documents", "lang", "text").select("lang", F.explode(F.array_distinct(T.raw_tokens(F.col("text")))).alias("term")).where("term is not null")
+    return T.judged(found.groupBy("lang", "term").agg(F.count("*").alias("n")))
 
 
 # --- terms -----------------------------------------------------------------------------------
@@ -99,7 +107,7 @@ def top_terms(spark, d):
 
 @_query(f"WITH {_TERMS} SELECT t AS term, count(*) AS n FROM kept GROUP BY 1")
 def term_raw_count(spark, d):
-    return _t(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return T.judged(_texts(spark, d, "documents", "text").select(F.explode(T.raw_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
 
 
 def _odds_sql(df: str, group: str, n: int, least: int) -> str:
@@ -121,13 +129,14 @@ _VOICE = f"raw AS ({_toks(_TALK, 'conv_id, turn, role')}), kept AS (SELECT * FRO
 
 @_query(f"WITH {_VOICE}, {_odds_sql('df', 'role', 40, 3)}")
 def voice_words(spark, d):
-    talk = _t(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
-    df = talk.select("conv_id", "turn", "role", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return S.log_odds(df.distinct().groupBy("role", "term").agg(F.count("*").alias("n")), "role", n=40)
+    talk = _texts(spark, d, "conversations", "conv_id", "turn", "role", "text").where(F.col("role").isin("user", "assistant"))
+    df = talk.select("conv_id", "turn", "role", F.explode(F.array_distinct(T.raw_tokens(F.col("text")))).alias("term")).where("term is not null")
+    return S.log_odds(T.judged(df.distinct().groupBy("role", "term").agg(F.count("*").alias("n"))), "role", n=40)
 
 
-_PHRASES = f"""p AS (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces) - 2)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_q(W.PIECE)}) AS pieces FROM documents)),
-q AS (SELECT doc_id, trim(lower(pieces[i]), '-.''') AS a, trim(lower(pieces[i + 2]), '-.''') AS b FROM p WHERE regexp_matches(pieces[i], {_q(f'^[{W.LATIN}]')}) AND regexp_matches(pieces[i + 2], {_q(f'^[{W.LATIN}]')}) AND regexp_matches(pieces[i + 1], '^[ \\t\\x{{00a0}}]+$')),
+_PHRASES = f"""r AS (SELECT doc_id, unnest(regexp_extract_all(nfc_normalize(text), {_q(f'{W.token_re2()}(?:{W.GAP}{W.token_re2()})+')})) AS run FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM (SELECT doc_id, list_transform(string_split_regex(run, {_q(W.GAP)}), lambda x: trim(lower(x), '-.''')) AS ws FROM r)),
+q AS (SELECT doc_id, ws[i] AS a, ws[i + 1] AS b FROM p),
 ph AS (SELECT a || ' ' || b AS term, count(DISTINCT doc_id) AS n FROM q WHERE {_keep('a')} AND {_keep('b')} GROUP BY 1)"""
 
 
@@ -135,18 +144,22 @@ ph AS (SELECT a || ' ' || b AS term, count(DISTINCT doc_id) AS n FROM q WHERE {_
 s AS (SELECT ph.term, ph.n, log2((ph.n / tp) / ((ua.n / tw) * (ub.n / tw))) AS raw FROM ph JOIN un ua ON ua.term = split_part(ph.term, ' ', 1) JOIN un ub ON ub.term = split_part(ph.term, ' ', 2) CROSS JOIN tp CROSS JOIN tw WHERE ph.n >= 4)
 SELECT term, n, round(raw, 2) AS pmi FROM s WHERE raw >= 2 ORDER BY n * round(raw, 2) DESC, term LIMIT 120""")
 def pmi_phrases(spark, d):
-    ph = _t(spark, d, "documents").select(F.explode(F.array_distinct(T.phrases(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    un = _terms(spark, d).groupBy("term").agg(F.sum("n").alias("n"))
-    return S.pmi_phrases(ph, un)
+    text = F.col("text")
+    found = _texts(spark, d, "documents", "text").select(F.explode(F.array_distinct(T.words_and_pairs(text))).alias("term")).where("term is not null")
+    # words and pairs are counted in one pass; conditions on the count keep both readers above the same exchange
+    counts = found.groupBy("term").agg(F.count("*").alias("n"))
+    part = lambda k: F.split_part("term", F.lit(" "), F.lit(k))
+    pairs = counts.where(F.when(F.col("n") > 0, T.is_pair(F.col("term")))).select(part(1).alias("a"), part(2).alias("b"), "n")
+    return S.pmi_pairs(pairs, T.judged(counts.where(F.when(F.col("n") > 0, ~T.is_pair(F.col("term"))))))
 
 
-_GRAMS = f"""w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, {_q(W.TOKEN)}), lambda x: trim(lower(x), '-.''')), lambda x: x <> '') AS ws FROM conversations WHERE role = 'user'),
+_GRAMS = f"""w AS (SELECT conv_id, turn, list_filter(list_transform({_FOUND}, lambda x: trim(lower(x), '-.''')), lambda x: x <> '') AS ws FROM conversations WHERE role = 'user'),
 g AS (SELECT conv_id, turn, list_slice(ws, i, i + k - 1) AS gram FROM (SELECT *, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w CROSS JOIN (VALUES (2), (3)) n(k))),
 ok AS (SELECT conv_id, turn, array_to_string(gram, ' ') AS term FROM g WHERE gram[1] NOT IN ({_BASE}) AND gram[len(gram)] NOT IN ({_BASE}) AND len(list_filter(gram, lambda x: NOT regexp_matches(x, {_q(W.WORD_LIKE)}))) = 0)"""
 
 
 def _gram_rows(spark, d):
-    users = _t(spark, d, "conversations").where("role = 'user'")
+    users = _texts(spark, d, "conversations", "conv_id", "turn", "role", "text").where("role = 'user'")
     return users.select("conv_id", "turn", F.explode(T.ngrams(F.col("text"))).alias("term"))
 
 
@@ -171,8 +184,8 @@ y AS (SELECT term, e + l AS n, round(log2(((l + 0.5) / tl * 1e5) / ((e + 0.5) /
 SELECT term, n, lift, 'rising' AS direction FROM (SELECT * FROM y ORDER BY lift DESC, n DESC, term LIMIT 40) UNION ALL SELECT term, n, lift, 'fading' FROM (SELECT * FROM y ORDER BY lift, n DESC, term LIMIT 40)""")
 def trends(spark, d):
     dated = _t(spark, d, "conversations").join(_t(spark, d, "events").select(F.col("event_id").alias("conv_id"), "ts"), "conv_id")
-    c = dated.select(F.date_trunc("hour", "ts").alias("span"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("span", "term").agg(F.count("*").alias("n"))
-    return S.trends(c, "span")
+    c = dated.select(F.date_trunc("hour", "ts").alias("span"), F.explode(T.raw_tokens(F.col("text"))).alias("term")).groupBy("span", "term").agg(F.count("*").alias("n"))
+    return S.trends(T.judged(c), "span")
 
 
 @_query(f"""WITH {_TERMS}, u AS (SELECT term, sum(n) AS n FROM df GROUP BY 1), k AS (SELECT count(*) AS k FROM u)
@@ -185,25 +198,27 @@ def vocab_gate(spark, d):
 
 @_query(f"WITH raw AS (SELECT DISTINCT t FROM ({_toks('documents', 'doc_id')})) SELECT t AS term, regexp_matches(t, {_q(W.CREDENTIAL)}) AS credential, {_OPAQUE} AS opaque FROM raw WHERE regexp_matches(t, {_q(W.CREDENTIAL)}) OR {_OPAQUE}")
 def opaque_tokens(spark, d):
-    t = _t(spark, d, "documents").select(F.explode(T.raw_tokens(F.col("text"))).alias("term")).distinct()
+    t = _texts(spark, d, "documents", "text").select(F.explode(T.raw_tokens(F.col("text"))).alias("term")).distinct()
     return t.select("term", F.col("term").rlike(W.CREDENTIAL).alias("credential"), T.opaque(F.col("term")).alias("opaque")).where("credential or opaque")
 
 
 # --- near-duplicate prompts ------------------------------------------------------------------
 
-_KEYED = f"k AS (SELECT *, array_to_string(list_slice(list_filter(list_transform(regexp_extract_all(text, {_q(W.TOKEN)}), lambda x: trim(lower(x), '-.''')), lambda x: regexp_matches(x, {_q(f'^[{W.LATIN}]+$')})), 1, 6), ' ') AS key FROM @@)"
+_KEYED = f"k AS (SELECT *, array_to_string(list_slice(list_filter(list_transform({_FOUND}, lambda x: trim(lower(x), '-.''')), lambda x: regexp_matches(x, {_q(W.LETTERS)})), 1, 6), ' ') AS key FROM @@)"
 
 
 @_query(f"WITH {_KEYED.replace('@@', 'documents')} SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id) AS r FROM k) WHERE key = '' OR r = 1")
 def dedup_first_occurrence(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "lang", T.shingle_key(F.col("text")).alias("key"))
+    docs = _texts(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", T.shingle_key(F.col("text")).alias("key"))
     return E.first_occurrence(docs, "key", ["lang"], "doc_id").select("doc_id", "lang")
 
 
-@_query(f"WITH {_KEYED.replace('@@', 'conversations')} SELECT key, count(*) AS n, max(length(text)) AS longest FROM k WHERE role = 'user' AND key <> '' GROUP BY 1")
+@_query(f"""WITH {_KEYED.replace('@@', 'conversations')}, r AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY length(text) DESC, conv_id, turn, text) AS i FROM k WHERE role = 'user' AND key <> '')
+SELECT key, n, text AS representative FROM r WHERE i = 1""")
 def cluster_prompts(spark, d):
+    """Prompts with one key are one; the longest, and of these the first, stands for them."""
     k = _t(spark, d, "conversations").where("role = 'user'").withColumn("key", T.shingle_key(F.col("text"))).where("key <> ''")
-    return k.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+    return k.groupBy("key").agg(F.count("*").alias("n"), F.min_by("text", F.struct(-F.length("text"), "conv_id", "turn", "text")).alias("representative"))
 
 
 # --- facets and activity ---------------------------------------------------------------------
@@ -370,28 +385,28 @@ def call_of_result(spark, d):
 
 @_query(f"""SELECT doc_id, ({' OR '.join(f"starts_with(lower(ltrim(text)), {_q(p)})" for p in C.INJECTED_PREFIXES)} OR {' OR '.join(f"contains(lower(left(text, 4000)), {_q(m)})" for m in C.INJECTED_MARKERS)}) AS injected FROM documents""")
 def injected_messages(spark, d):
-    return _t(spark, d, "documents").select("doc_id", C.is_injected(F.col("text")).alias("injected"))
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", C.is_injected(F.col("text")).alias("injected"))
 
 
 @_query()
 def clean_prose(spark, d):
-    return _t(spark, d, "documents").select("doc_id", C.clean_prose(F.col("text")).alias("prose"))
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", C.clean_prose(F.col("text")).alias("prose"))
 
 
 @_query()
 def code_messages(spark, d):
-    return _t(spark, d, "pages").select("page_id", C.looks_like_code(F.col("html")).alias("code"))
+    return _texts(spark, d, "pages", "page_id", "html").select("page_id", C.looks_like_code(F.col("html")).alias("code"))
 
 
 @_query()
 def error_signatures(spark, d):
-    texts = _t(spark, d, "documents").select("text").unionByName(_t(spark, d, "conversations").select("text"))
+    texts = _texts(spark, d, "documents", "text").unionByName(_texts(spark, d, "conversations", "text"))
     return texts.select(C.error_signature(F.col("text")).alias("signature")).where("signature <> ''").groupBy("signature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "signature").limit(40)
 
 
 @_query()
 def redact_terms(spark, d):
-    return _t(spark, d, "documents").select("doc_id", C.redact(F.col("text"), ["example.com", "th er", "hash"]).alias("text"))
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", C.redact(F.col("text"), ["example.com", "th er", "hash"]).alias("text"))
 
 
 # --- sharing ---------------------------------------------------------------------------------
