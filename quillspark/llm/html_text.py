@@ -1,12 +1,15 @@
 """Main text of web pages by a tree-structured model of the DOM.
 
 A page becomes a tree of its block elements. Each node is content or not: its own evidence (tag, names in class, id and
-role, its text's length, links and punctuation) gives a potential to either label, each edge one to the pair of parent and
+role, its text's length, links and punctuation, and whether it lies before, in or after the element whose own parts hold the
+most unlinked text) gives a potential to either label, each edge one to the pair of parent and
 child labels. Sum-product messages go up to the root and down again and leave every node's content marginal; the text of
 nodes with a marginal of one half or more is kept. Potentials are trained by the gradient of the labelled trees' likelihood
 on pages with labels: labelled_pages() writes a seeded set of them in many layouts, train() takes any other.
 
-Scripts, styles, heads, comments and the like are no nodes. Character references are decoded, white space inside a block
+Tags are read as HTML's tokenizer does: a quote means something only at the beginning of an attribute's value. Scripts,
+styles, comments and the like are no nodes, and controls, media and their parts hold no text. A page is read once, in time
+proportional to its length. Character references are decoded, white space inside a block
 becomes one space, blocks are joined in page order by one space.
 
 Defined cases. A null or empty page, or one without content, has the text "". Broken markup is taken as it comes: open
@@ -21,7 +24,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import bounded
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>|\Z)))?+)*+)(?:>|\Z)",
+    re.S,
+)
+_NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W\d_]+")
 # Elements by what they mean for text.
-DROPPED = frozenset("script style noscript template head title select button textarea svg iframe object audio video canvas math datalist option".split())
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.I | re.A) for t in "script style textarea title iframe noembed noframes xmp".split()}  # no elements inside
+DROPPED = frozenset("noscript template select button svg object audio video canvas math datalist option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -43,16 +52,16 @@ ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 ITEM_STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 # What words in class, id and role say.
 ROLES = {
-    "ad": "ad ads advert advertisement adverts banner promo promotion sponsor sponsored adsense dfp outbrain taboola",
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs crumbs pagination pager toc tabs skip",
-    "header": "header masthead topbar head logo branding brand hero",
-    "footer": "footer foot colophon copyright legal bottom",
-    "side": "sidebar side aside widget widgets related recommended more rail complementary teaser",
-    "notice": "cookie cookies consent gdpr notice alert popup modal newsletter subscribe paywall overlay signup message toast warning",
-    "comment": "comment comments reply replies respond disqus discussion feedback reviews",
+    "ad": "ad ads advert advertisement adverts banner promo promotion sponsor sponsored adsense dfp outbrain taboola werbung anzeige anzeigen publicidad anuncio anuncios publicité publicite",
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs crumbs pagination pager toc tabs skip menü menue navegación navegacion",
+    "header": "header masthead topbar head logo branding brand hero kopfzeile cabecera entête entete",
+    "footer": "footer foot colophon copyright legal bottom fusszeile fußzeile impressum pie pied",
+    "side": "sidebar side aside widget widgets related recommended more rail complementary teaser seitenleiste lateral",
+    "notice": "cookie cookies consent gdpr notice alert popup modal newsletter subscribe paywall overlay signup message toast warning hinweis aviso avis",
+    "comment": "comment comments reply replies respond disqus discussion feedback reviews kommentar kommentare comentario comentarios commentaire commentaires",
     "social": "share sharing social follow tweet facebook twitter",
-    "form": "form search login register signin contact",
-    "content": "article content post entry main story body text articlebody postbody entrycontent",
+    "form": "form search login register signin contact suche buscar recherche",
+    "content": "article content post entry main story body text articlebody postbody entrycontent artikel inhalt contenido contenu",
     "meta": "byline meta author date dateline timestamp tags category tag",
 }
 _ROLE = {w: r for r, words in ROLES.items() for w in words.split()}
@@ -80,135 +89,185 @@ def _roles(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def parse(page: str) -> Dom:
-    dom = Dom()
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements, inline ones too, with the node they belong to
-    links = 0
-    words: list[str] = []
-
-    def flush() -> None:
-        if words:
-            node = stack[-1][1]
-            t = _SPACE.sub(" ", html.unescape("".join(words))).strip()
-            words.clear()
+class _Reader:
+    """Builds a Dom from tokens: the open elements, inline ones too, each with the node that its text belongs to."""
+
+    def __init__(self) -> None:
+        self.dom = Dom()
+        self.stack: list[tuple[str, int]] = [("root", 0)]
+        self.open: Counter[str] = Counter()
+        self.silent = 0  # open elements whose text is dropped
+        self.words: list[str] = []
+
+    def flush(self) -> None:
+        if self.words:
+            t = _SPACE.sub(" ", "".join(self.words)).strip()
+            self.words.clear()
             if t:
-                dom.pieces.append((node, t))
-
-    def leave(depth: int) -> None:
-        nonlocal links
-        if any(t not in INLINE for t, _ in stack[depth:]):
-            flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
-    def add(raw: str) -> None:
-        if raw:
-            words.append(raw)
-            node = stack[-1][1]
-            n = len(raw.strip())
-            dom.text[node] += n
-            if links:
-                dom.linked[node] += n
-
-    at, end = 0, len(page)
-    low = None
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    leave(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
-            continue
+                self.dom.pieces.append((self.stack[-1][1], t))
+
+    def leave(self, depth: int) -> None:
+        if any(t not in INLINE for t, _ in self.stack[depth:]):
+            self.flush()
+        for t, _ in self.stack[depth:]:
+            self.open[t] -= 1
+            self.silent -= t in DROPPED
+        del self.stack[depth:]
+
+    def text(self, raw: str) -> None:
+        if raw and not self.silent:
+            self.words.append(html.unescape(raw) if "&" in raw else raw)
+            node, n = self.stack[-1][1], len(raw.strip())
+            self.dom.text[node] += n
+            if self.open["a"] > 0:
+                self.dom.linked[node] += n
+
+    def back_to(self, tags: tuple[str, ...], stops: Callable[[str], bool]) -> None:
+        """Leave the innermost open element of these tags, unless one that stops the search lies within."""
+        if any(self.open[t] > 0 for t in tags):
+            for depth in range(len(self.stack) - 1, 0, -1):
+                if self.stack[depth][0] in tags:
+                    self.leave(depth)
+                    return
+                if stops(self.stack[depth][0]):
+                    return
+
+    def end(self, tag: str) -> None:
+        self.back_to((tag,), (lambda t: t not in INLINE) if tag in INLINE else (lambda t: False))
+
+    def begin(self, tag: str, attributes: str) -> None:
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                words.append("" if tag == "wbr" else " ")
-            continue
-        if tag in DROPPED and not m[3].endswith("/"):
-            if tag == "head":
-                continue  # its own elements are dropped; a page may never end it
-            if low is None:
-                low = page.lower()
-            close = low.find(f"</{tag}", at)
-            if close < 0:
-                if tag in ("script", "style", "textarea", "title"):
-                    at = end
-                continue
-            stop = page.find(">", close)
-            at = end if stop < 0 else stop + 1
-            continue
+            if tag in ("br", "hr") and not self.silent:
+                self.words.append(" ")
+            return
+        if tag in ITEMS:
+            self.back_to(ITEMS[tag], lambda t: t in ITEM_STOPS[tag])
+        if tag in DROPPED:
+            if not attributes.endswith("/"):
+                self.push(tag, self.stack[-1][1])
+                self.silent += 1
+            return
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            continue
+            self.push(tag, self.stack[-1][1])
+            return
+        if self.silent:
+            self.push(tag, self.stack[-1][1])
+            return
         if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    leave(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        if tag in ITEMS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in ITEMS[tag]:
-                    leave(depth)
-                    break
-                if stack[depth][0] in ITEM_STOPS[tag]:
-                    break
-        flush()
-        if m[3].endswith("/"):
-            continue
-        dom.parent.append(stack[-1][1])
+            self.back_to(("p",), lambda t: t not in INLINE)
+        self.flush()
+        if attributes.endswith("/"):
+            return
+        dom = self.dom
+        dom.parent.append(self.stack[-1][1])
         dom.tag.append(tag)
-        dom.roles.append(_roles(m[3]) if m[3] else frozenset())
+        dom.roles.append(_roles(attributes) if attributes else frozenset())
         dom.text.append(0)
         dom.linked.append(0)
-        stack.append((tag, len(dom.parent) - 1))
-    flush()
-    return dom
+        self.push(tag, len(dom.parent) - 1)
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.open[tag] += 1
+
+
+def parse(page: str) -> Dom:
+    reader, at = _Reader(), 0
+    while m := _TOKEN.search(page, at):
+        reader.text(page[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            reader.end(tag)
+        elif tag in RAW:
+            if not m[3].endswith("/"):
+                close = RAW[tag].search(page, at)
+                stop = page.find(">", close.end()) if close else -1
+                at = len(page) if stop < 0 else stop + 1
+        elif tag != "head":  # its own elements are dropped; a page may never end it
+            reader.begin(tag, m[3])
+    reader.text(page[at:])
+    reader.flush()
+    return reader.dom
 
 
 # --- the model -------------------------------------------------------------------------------
 
-_TAGS = ("root", "html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "blockquote", "pre", "table", "tr", "td", "th", "dl", "dt", "dd", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "fieldset", "details", "summary", "address", "other")
-_NAMED = [*(f"tag:{t}" for t in _TAGS), *(f"role:{r}" for r in ROLES), *(f"long:{k}" for k in range(5)), "links:some", "links:most", "stop", "alone"]
+_TAGS = ("root", "html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "blockquote", "pre", "table", "tr", "td", "th", "dl", "dt", "dd", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "fieldset", "details", "summary", "address", "inner", "other")
+ZONES = ("before", "in", "within", "after")  # of the anchor: in it or its lists and the like, within a container inside it
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAMED = [*(f"tag:{t}" for t in _TAGS), *(f"role:{r}" for r in ROLES), *(f"long:{k}" for k in range(5)), "links:some", "links:most", "stop", "alone", *(f"{z}:{k}" for z in ZONES for k in range(5)), *(f"{z}:links" for z in ZONES), *(f"{z}:heading" for z in ZONES), "anchor"]
 _AT = {f: i for i, f in enumerate(_NAMED)}
 UNARY = len(_NAMED)
 
 
 @functools.lru_cache(maxsize=200_000)
-def _evidence(tag: str, roles: frozenset[str], long: int, links: int, stop: bool) -> tuple[int, ...]:
-    named = [f"tag:{tag if tag in _TAGS else 'other'}", *(f"role:{r}" for r in sorted(roles)), f"long:{long}"]
+def _evidence(tag: str, roles: frozenset[str], long: int, links: int, stop: bool, zone: str, anchor: bool) -> tuple[int, ...]:
+    named = [f"tag:{tag if tag in _TAGS else 'other'}", *(f"role:{r}" for r in sorted(roles)), f"long:{long}", f"{zone}:{long}"]
     if links:
         named.append(("links:some", "links:most")[links - 1])
+        named.append(f"{zone}:links")
     if stop:
         named.append("stop")
     if long and not roles:
         named.append("alone")
+    if tag in _HEADINGS:
+        named.append(f"{zone}:heading")
+    if anchor:
+        named.append("anchor")
     return tuple(_AT[f] for f in named)
 
 
+def _within(dom: Dom) -> list[bool]:
+    """Whether each node is, or lies in, an element that names itself content."""
+    out: list[bool] = []
+    for parent, tag, roles in zip(dom.parent, dom.tag, dom.roles, strict=True):
+        out.append(tag in ("article", "main") or "content" in roles or parent >= 0 and out[parent])
+    return out
+
+
+def anchor(dom: Dom, within: list[bool]) -> tuple[int, int]:
+    """The node whose own text and children's hold the most unlinked characters, and the first node behind its subtree. Elements
+    that name themselves content come before others if they hold text at all."""
+    sums = [0] * len(dom.tag)
+    for i, (p, n, linked) in enumerate(zip(dom.parent, dom.text, dom.linked, strict=True)):
+        plain = n - linked
+        if plain > (0 if within[i] else 25):
+            sums[i] += plain
+            if p >= 0 and dom.tag[i] in _BLOCKS:
+                sums[p] += plain + 1
+    best = max(range(len(sums)), key=lambda i: (within[i] and sums[i] > 0, sums[i]))
+    if sums[best] and dom.tag[best] in _BLOCKS and dom.parent[best] >= 0:
+        best = dom.parent[best]
+    end = best + 1
+    while end < len(dom.parent) and dom.parent[end] >= best:  # document order: a subtree is a range
+        end += 1
+    return best, end
+
+
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre dl dt dd figure figcaption".split())
+
+
 def evidence(dom: Dom) -> tuple[list[tuple[int, ...]], list[int]]:
     """Each node's features and its edge's kind."""
     stops = [False] * len(dom.tag)
     for node, t in dom.pieces:
         stops[node] |= t[-1] in ".!?"
-    found, kinds = [], []
-    for tag, roles, n, linked, stop in zip(dom.tag, dom.roles, dom.text, dom.linked, stops, strict=True):
+    within = _within(dom)
+    first, end = anchor(dom, within)
+    found, kinds, near = [], [], []
+    for i, (parent, tag, roles, n, linked, stop) in enumerate(zip(dom.parent, dom.tag, dom.roles, dom.text, dom.linked, stops, strict=True)):
+        article = tag in ("article", "main") or "content" in roles
+        near.append(i == first or parent == first or parent >= 0 and near[parent] and dom.tag[parent] in _BLOCKS)
+        zone = "before" if i < first else "after" if i >= end else "in" if near[i] else "within"
+        if tag in ("header", "address") and parent >= 0 and within[parent]:
+            tag, roles = "inner", roles - {"header"}  # an article's own head, not the page's
         long = 0 if n == 0 else 1 if n <= 25 else 2 if n <= 80 else 3 if n <= 300 else 4
         links = 0 if not linked else 2 if 2 * linked >= n else 1
-        found.append(_evidence(tag, roles, long, links, stop))
-        kinds.append(1 if tag in OUTER or roles and roles - {"content", "meta"} and "content" not in roles else 2 if tag in ("article", "main") or "content" in roles else 0)
+        found.append(_evidence(tag, roles, long, links, stop, zone, i == first))
+        kinds.append(1 if tag in OUTER or roles and roles - {"content", "meta"} and "content" not in roles else 2 if article else 0)
     return found, kinds
 
 
@@ -283,7 +342,7 @@ def train(pages: list[tuple[str, set[str]]], rounds: int = 80, rate: float = 0.5
     return unary.tolist(), edge.tolist()
 
 
-def labelled_pages(n: int = 160, seed: int = 5) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, set[str]]]:
     """Seeded pages in many layouts, with the texts of their content blocks."""
     rng = random.Random(seed)
     syllables = "ba ke lo mi nu ra se ti vo zu".split()
@@ -319,10 +378,14 @@ def labelled_pages(n: int = 160, seed: int = 5) -> list[tuple[str, set[str]]]:
                 return f"<blockquote>{keep(sentence(6, 30))}</blockquote>"
             return f"<div>{keep(sentence(10, 50))}</div>"
 
+        bare = rng.random() < 0.4  # nothing but structure tells what is what
+
         def outer(name: str) -> str:
             wrap, role = {"nav": ("nav", "menu"), "header": ("header", "site-header"), "footer": ("footer", "footer"), "aside": ("aside", "sidebar"), "form": ("form", "search-form"), "ad": ("div", rng.choice(("ad", "advert", "banner", "sponsored"))), "notice": ("div", rng.choice(("cookie-notice", "newsletter", "popup", "consent", "alert"))), "comment": (rng.choice(("section", "div")), rng.choice(("comments", "comment-list", "replies"))), "social": ("div", rng.choice(("share", "social"))), "related": ("div", rng.choice(("related", "widget", "recommended")))}[name]
             tag = wrap if rng.random() < 0.6 else "div"
             named = f' class="{role}"' if tag == "div" or rng.random() < 0.4 else ""
+            if bare:
+                tag, named = rng.choice((("div", ""), ("div", f' class="{words(1, 1)}"'), ("div", f' id="{words(1, 1)}"')))
             inner = {
                 "nav": lambda: f"<ul>{links(3, 8)}</ul>",
                 "header": lambda: rng.choice((f"<h1>{words(1, 3)}</h1>", f"<div>{words(1, 3)}</div>", f"<p>{sentence(2, 8)}</p>")) + (f"<ul>{links(2, 5)}</ul>" if rng.random() < 0.4 else ""),
@@ -338,11 +401,17 @@ def labelled_pages(n: int = 160, seed: int = 5) -> list[tuple[str, set[str]]]:
             return f"<{tag}{named}>{inner}</{tag}>"
 
         title = keep(words(3, 10))
-        core = [f"<h1>{title}</h1>"] + [block() for _ in range(rng.randint(1, 12))]
+        head = f"<h1>{title}</h1>" if rng.random() < 0.8 else f"<header><h1>{title}</h1></header>" if not bare else f"<div><h1>{title}</h1></div>"
+        if not bare and rng.random() < 0.2:  # hardly anything: less than around it
+            core = [head, f"<p>{keep(rng.choice((words(1, 3), title, sentence(1, 4))))}</p>"]
+        else:
+            core = [head] + [block() for _ in range(rng.randint(2 if bare else 1, 12))]
         for name in ("ad", "social", "related", "notice", "form"):
-            if rng.random() < 0.15:
+            if rng.random() < 0.15 and not bare:
                 core.insert(rng.randint(1, len(core)), outer(name))
         shell = rng.choice(("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post-body"><div>{}</div></div>', '<section class="entry">{}</section>', "<article><div>{}</div></article>", '<div id="main">{}</div>'))
+        if bare:
+            shell = rng.choice(("<div>{}</div>", "{}", "<div><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<table><tr><td><div>{}</div></td></tr></table>", "<section>{}</section>", "<center>{}</center>"))
         before = [outer(x) for x in ("notice", "header", "nav", "ad") if rng.random() < 0.6]
         after = [outer(x) for x in ("comment", "aside", "related", "form", "social", "ad", "footer") if rng.random() < 0.5]
         rng.shuffle(before)
