@@ -74,4 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries have no faithful SQL form; tests/llm compares each with brute force, round trips or held-out accuracy."""
-    return {"op3_warc_fixity": "SELECT page_id AS record_id, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS fault FROM pages WHERE page_id % 97 = 5 OR page_id % 101 = 7"}
+    spoilt = "CASE WHEN page_id % 97 = 5 THEN ' ' || coalesce(html, '') ELSE html END"
+    hashed = lambda html: f"sha256(coalesce('=' || url, 'null') || chr(0) || coalesce('=' || {html}, 'null'))"
+    return {
+        "op3_warc_fixity": f"""WITH a AS (SELECT page_id, {hashed('html')} AS h FROM pages), b AS (SELECT page_id, {hashed(spoilt)} AS h FROM pages WHERE page_id % 101 <> 7)
+SELECT coalesce(a.page_id, b.page_id) AS record_id, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'added' ELSE 'changed' END AS fault FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.h IS DISTINCT FROM b.h""",
+        "op7_benchmark_decontamination": decontaminate.oracle_sql(),
+    }
