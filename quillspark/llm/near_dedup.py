@@ -8,14 +8,15 @@ full sets confirm the rest.
 
 No group is ever expanded to all its pairs. Equal sets become one class first. Classes that share a band link to one
 leader of the bucket; confirmed links make components; only buckets that still hold several components go on. There,
-members outside the bucket's main component meet the others: as pairs in small buckets, in blocks of BLOCK members inside
-a task, which returns confirmed links only, in large ones. So a link is lost only where no band of two similar sets
+members outside the bucket's main component meet the others: as pairs in small buckets, in blocks of BLOCK members (fewer,
+if their texts are long) inside a task, which returns confirmed links only, in large ones. So a link is lost only where no band of two similar sets
 agrees, (1 - 0.8**6)**45, about 1e-6, or the estimate is five standard deviations low, both at the threshold itself; less
 above it.
 
 Defined cases. Null or wordless text: no shingles, linked with nothing, kept. Null doc_id: kept as a row, its class
-takes part under its smallest id that is not null. Repeated rows come back as often as they came. Columns other than the
-id and the text are not looked at.
+takes part under its smallest id that is not null. Repeated rows come back as often as they came. An id with several texts
+is found out and its rows are told apart by numbers of their own. An empty table gives no rows. Columns other than the id
+and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 MARGIN = 0.12  # five standard deviations of the estimate at 0.8
 BLOCK = 512  # members of a large bucket that one task compares with as many others
+BLOCK_SHINGLES = 2_000_000  # that such a block of members holds together: long texts make smaller blocks
 _ONES = (rng_constants(11, REGISTERS) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _TWOS = (rng_constants(12, REGISTERS) >> U64(32)).astype(np.uint32)
 _MIX = rng_constants(13, 64) | U64(1)
@@ -157,7 +159,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, p
 
 
 def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links between components within large buckets. open_: bucket, node, part, main, top, size."""
+    """Confirmed links between components within large buckets. open_: bucket, node, part, main, top, size, mass."""
     least = percent / 100 - MARGIN
 
     def run(group: pa.Table) -> pa.Table:
@@ -190,7 +192,8 @@ def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
                     found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    sized = open_.select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("minor"), F.ceil(F.col("size") / BLOCK).alias("tn"), F.ceil((F.col("size") - F.col("top")) / BLOCK).alias("qn"))
+    parts = lambda n, mass: F.ceil(F.greatest((F.col(n) if isinstance(n, str) else n) / BLOCK, (F.col(mass) if isinstance(mass, str) else mass) / BLOCK_SHINGLES))
+    sized = open_.select("bucket", "node", "part", (F.col("part") != F.col("main")).alias("minor"), parts("size", "mass").alias("tn"), parts(F.col("size") - F.col("top"), F.col("mass") * (F.col("size") - F.col("top")) / F.col("size")).alias("qn"))
     whole = sized.join(classes.select("node", "n", "regs"), "node").join(texts, "node")
     asked = whole.where("minor").select("*", F.lit(True).alias("asked"), F.pmod(F.xxhash64("node"), "qn").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tn") - 1)).alias("t"))
     others = whole.select("*", F.lit(False).alias("asked"), F.pmod(F.xxhash64("node"), "tn").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("q"))
@@ -225,6 +228,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     since = mark()
     own = stored(sketches(docs, k, id_col, text_col), "sketches")
+    texts_of = own.where("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
+    if not texts_of.where("low <> high").isEmpty():
+        out = stored(_by_rows(docs, k, percent, id_col, text_col), "near")
+        dropped(spark, since, keep=1)
+        return out
     # a class of equal sets is named by its smallest id, which stands for its text as well
     classes = own.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")).where("node is not null")
     classes = stored(classes, "classes")
@@ -237,17 +245,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     starred = multi.where("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = stored(_confirmed(starred, classes, texts, k, percent), "links")
-    named = multi.select("bucket", "node").join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    held = named.groupBy("bucket", "part").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("top"), F.sum("c").alias("size"))
-    open_ = stored(named.join(held.where("top < size"), "bucket"), "open")
+    first = stored(components(links), "first")
+    named = multi.select("bucket", "node").join(first, "node", "left").withColumn("part", F.coalesce("part", "node")).join(classes.select("node", "n"), "node")
+    held = named.groupBy("bucket", "part").agg(F.count("*").alias("c"), F.sum("n").alias("m")).groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("top"), F.sum("c").alias("size"), F.sum("m").alias("mass"))
+    open_ = stored(named.drop("n").join(held.where("top < size"), "bucket"), "open")
     if not open_.isEmpty():
         few = open_.where(F.col("size") < BLOCK // 8)
         one, two = (few.select("bucket", F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
         pairs = one.join(two, "bucket").where("part_a < part_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = _confirmed(pairs, classes, texts, k, percent)
         many = _across(open_.where(F.col("size") >= BLOCK // 8), classes, texts, k, percent)
-        links = stored(links.unionByName(more).unionByName(many).distinct(), "links")
-    parts = components(links)
+        more = stored(more.unionByName(many).distinct(), "links")
+        links = links.unionByName(more)
+        # the first components are stars already; new links join them
+        first = components(first.where("node <> part").select(F.col("node").alias("a"), F.col("part").alias("b")).unionByName(more))
+    parts = first
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     found = classes.select("set_key", "node").join(parts, "node", "left").join(degree, "node", "left")
     found = stored(found.select("set_key", F.coalesce("part", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links")), "found")
@@ -257,3 +269,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     dropped(spark, since, keep=1)
     return out
 
+
+def _by_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates() where an id may have several texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows, k, percent, "row", "text").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part"), "links")
+    named = rows.select("row", "doc_id").join(near, "row")
+    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "part").select("doc_id", "n_shingles", "component_id", "links")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of near copies one row, that with the smallest id
+    (one of them, should it be repeated; rows with an id before those without), and all rows without words. Decisions are
+    about rows: rows of one id with different texts stay unless they are near copies."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        gone = stored(near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    number = "_row" + "_" * sum(c.startswith("_row") for c in docs.columns)
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows, k, percent, number, text_col).select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_part"))
+    named = rows.select(F.col(number).alias("_of"), F.col(id_col).cast("long").alias("_id")).join(near, "_of")
+    first = named.groupBy("_part").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_of"))["_of"].alias("_of"))
+    return rows.join(stored(first, "stay"), rows[number] == F.col("_of"), "left_semi").drop(number)
