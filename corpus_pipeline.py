@@ -17,32 +17,30 @@ SURE = 0.5  # a language is rejected below this posterior
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not `und` (null, or no letter), and likelier than not."""
+    """Rows whose language is known: not `und` (null, or no letter), and likelier than not. Each row is judged by its own
+    text, so repeated rows and ids, or ids of null, make no difference. Where no row has a language, nothing can be learnt
+    and every row is rejected."""
     model = language.train(docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
     found = language.predicted(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
     return found.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest doc_id. Rows without an id stay."""
-    near = near_dedup.near_duplicates(docs, k=5, percent=80)
-    gone = stored(near.where("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # repeated rows of one document
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """One row of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id. It is rows
+    that stay or go, so an id with different texts loses none of them but copies; rows without words or an id stay unless
+    they are copies of a row that stays. An empty table stays empty."""
+    return near_dedup.deduplicated(docs, k=5, percent=80).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows whose text holds no benchmark item. Rows with the same id and different texts are judged apart, rows of equal
+    text alike; texts of null stay. Without items all rows stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = stored(decontaminate.leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.cleaned(docs, items).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars follows."""
+    """All rows, their secrets masked; n_chars follows. Texts of null stay null."""
     clean = secrets.redacted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -50,7 +48,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all rows and their places in sequences of 4096 tokens. A text of null is its end alone; repeated rows
+    and ids of null are packed like others."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), 4096)
 
 
