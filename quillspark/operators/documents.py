@@ -8,13 +8,18 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import tempfile
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import hits
+from .share import leaks
+
 # Longest lists by facet; clouds of single words differ by scope.
 CAPS = {"phrases_user": 80, "phrases_assistant": 80, "tools": 60, "commands": 60, "extensions": 40, "errors": 40, "distinctive_user": 120, "distinctive_assistant": 120}
 CLOUD = {"global": 300, "tool": 300, "project": 150, "month": 150}
@@ -119,3 +124,42 @@ def snapshots(spark: SparkSession, folder: str, current: int = SCHEMA, marker: s
     schema = F.coalesce(stamp.try_cast("int"), F.lit(0))
     name = F.element_at(F.split("path", "/"), -1)
     return pages.select(name.alias("name"), F.col("length").alias("bytes"), schema.alias("schema"), name.endswith("-shareable.html").alias("shareable"), (schema < current).alias("stale"))
+
+
+# --- vocabulary ------------------------------------------------------------------------------
+
+# Lists of the vocabulary and whether rare terms leave them, from how many terms on, and below which count.
+VOCABULARY = {"prose_user": True, "prose_assistant": True, "tools": False, "commands": False}
+FLOOR, FLOOR_TERMS = 2, 400
+
+
+def gated(facets: DataFrame, literals: Iterable[str] = (), accounts: Iterable[str] = (), names: Iterable[str] = ()) -> DataFrame:
+    """facet, t, n and verdict (kept, redacted, harvested, rare) of the global terms of the vocabulary's lists. A list of FLOOR_TERMS or more loses terms seen once, if it is one of words."""
+    own = facets.where((F.col("scope") == "global") & F.col("facet").isin(list(VOCABULARY))).select("facet", "t", "n")
+    floors = own.groupBy("facet").agg((F.count("*") >= FLOOR_TERMS).alias("_long"))  # a row for each list
+    cut = F.col("_long") & F.col("facet").isin([k for k, v in VOCABULARY.items() if v]) & (F.col("n") < FLOOR)
+    verdict = F.when(cut, "rare").when(hits(F.col("t"), list(literals)), "redacted").when(leaks(F.col("t"), accounts, names), "harvested").otherwise("kept")
+    return own.join(F.broadcast(floors), "facet").select("facet", "t", "n", verdict.alias("verdict"))
+
+
+def gate_report(terms: DataFrame) -> DataFrame:
+    """seen, kept, redacted, harvested and rare: counts alone, since names would be what was taken out."""
+    return terms.agg(F.count("*").alias("seen"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("kept", "redacted", "harvested", "rare")))
+
+
+def write_vocabulary(terms: DataFrame, path: str) -> None:
+    """The kept terms as JSON lines, by list and falling count, written where every executor can: a vocabulary grows with its corpus."""
+    terms.where("verdict = 'kept'").select("facet", "t", "n").repartitionByRange("facet", F.desc("n"), "t").sortWithinPartitions("facet", F.desc("n"), "t").write.mode("overwrite").json(path)
+
+
+def copy_snapshot(page: str, folder: str, stamp: str, label: str = "", statistics_path: str | None = None, shareable: bool = False) -> list[str]:
+    """A page copied to <folder>/lexicon-<stamp>[-label][-shareable].html, with its statistics beside it unless it is the shareable one, which they would undo. Returns what was written."""
+    name = "-".join(["lexicon", stamp, *label.strip().split()]) + ("-shareable" if shareable else "")
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    saved = [str(target / f"{name}.html")]
+    shutil.copy2(page, saved[0])
+    if not shareable and statistics_path and Path(statistics_path).is_file():
+        saved.append(str(target / f"{name}.stats.json"))
+        shutil.copy2(statistics_path, saved[1])
+    return saved

@@ -29,9 +29,15 @@ def first_occurrence(rows: DataFrame, key: str, by: list[str], order: str) -> Da
     return rows.where(empty).unionByName(rows.where(~empty).withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
 
 
-def prices(spark: SparkSession) -> DataFrame:
+def prices(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The price table, or that of a JSON file: a list of {pattern, input, output, cache_read, cache_write, cached_input}, or such a list under `models`. Rows without a pattern are left out."""
     names = "pattern string, p_input double, p_output double, p_read double, p_write double, p_cached double"
-    return spark.createDataFrame([(k, *v) for k, v in W.PRICES.items()], names)
+    if path is None:
+        return spark.createDataFrame([(k, *v) for k, v in W.PRICES.items()], names)
+    row = "struct<pattern: string, input: double, output: double, cache_read: double, cache_write: double, cached_input: double>"
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    rows = doc.select(F.explode(F.coalesce(F.try_variant_get("v", "$.models", f"array<{row}>"), F.try_variant_get("v", "$", f"array<{row}>"))).alias("r")).select("r.*")
+    return rows.where("pattern <> ''").toDF(*(n.split()[0] for n in names.split(", ")))
 
 
 def priced(usage: DataFrame, rates: DataFrame, cached_tools: tuple[str, ...] = ("codex", "gemini_cli")) -> DataFrame:
@@ -50,8 +56,27 @@ def spend_by(priced_usage: DataFrame, *keys: str) -> DataFrame:
     return priced_usage.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")), F.sum("cost").alias("cost"), F.count("*").alias("responses"))
 
 
+def by_model(priced_usage: DataFrame, n: int = 60) -> DataFrame:
+    """Sums of each model and tool, the costliest first, then those with most tokens."""
+    rows = spend_by(priced_usage, "model", "tool").withColumn("cost", F.round("cost", 4))
+    return rows.orderBy(F.coalesce("cost", F.lit(0.0)).desc(), (F.col("input") + F.col("output")).desc(), "model", "tool").limit(n)
+
+
+def by_tool(priced_usage: DataFrame, n: int = 20, session: str = "session_id") -> DataFrame:
+    """tool, cost, tokens and sessions, the costliest first."""
+    rows = priced_usage.groupBy("tool").agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"), F.sum(F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")).alias("tokens"), F.count_distinct(session).alias("sessions"))
+    return rows.orderBy(F.desc("cost"), "tool").limit(n)
+
+
+def by_day(priced_usage: DataFrame, day: str = "day") -> DataFrame:
+    """day, cost and tokens, in order of days."""
+    rows = priced_usage.where(F.col(day).isNotNull()).groupBy(F.col(day).alias("day")).agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 4).alias("cost"), F.sum(F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")).alias("tokens"))
+    return rows.orderBy("day")
+
+
 def cache_hit_rate(usage: DataFrame) -> DataFrame:
-    below = F.sum("input") + F.sum("cache_read")
+    """The share of all tokens on the prompt's side that a cache served."""
+    below = F.sum("input") + F.sum("cache_read") + F.sum("cache_write")
     return usage.agg(F.coalesce(F.round(F.when(below > 0, F.sum("cache_read") / below), 4), F.lit(0.0)).alias("rate"))
 
 
@@ -68,11 +93,11 @@ def last_known(rows: DataFrame, value: str, by: str, order: str, name: str) -> D
 
 
 def matched_calls(results: DataFrame, calls: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Each result with the name of the newest call before it with its id; null if there is none."""
-    c = calls.select(*keys, F.col(order).alias("_at"), F.col(name).alias("_name"))
-    joined = results.join(c, keys, "left").where(F.col("_at").isNull() | (F.col("_at") <= F.col(order)))
-    best = joined.groupBy(*keys, order).agg(F.max_by("_name", "_at").alias(name))
-    return results.join(best, [*keys, order], "left")
+    """Each result with the name of the newest call at or before it with its id; null if there is none. One ordered pass over both: no result meets all calls of its key."""
+    rows = results.select("*", F.lit(None).cast("string").alias("_name"), F.lit(1).alias("_last"))
+    both = rows.unionByName(calls.select(*keys, order, F.col(name).cast("string").alias("_name"), F.lit(0).alias("_last")), allowMissingColumns=True)
+    past = Window.partitionBy(*keys).orderBy(order, "_last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.last("_name", ignorenulls=True).over(past)).where("_last = 1").drop("_name", "_last")
 
 
 def longest_streak(days: DataFrame, by: str, day: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,20 @@ def top_n(counts: DataFrame, n: int, by: list[str] | None = None, value: str = "
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def ranked(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group in an order."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n).drop("rank")
+
+
+def log_odds_z(n: Column, nt: Column, bg: Column, whole: Column, v: Column, alpha: float = 0.01) -> Column:
+    """z of a term with n of its group's nt places, bg of all places `whole`, v distinct terms; null where it can't be told."""
+    a0, aw = F.lit(alpha) * F.greatest(v, F.lit(1)), F.lit(alpha) * F.greatest(bg, F.lit(1))
+    nr, yr = whole - nt, bg - n
+    t0, t1, r0, r1 = n + aw, nt + a0 - n - aw, yr + aw, nr + a0 - yr - aw
+    fit = (nt > 0) & (nr > 0) & (t1 > 0) & (r0 > 0) & (r1 > 0)
+    return F.when(fit, F.round((F.log(t0 / t1) - F.log(r0 / r1)) / F.sqrt(1 / t0 + 1 / r0), 3))
+
+
 def log_odds(counts: DataFrame, group: str, n: int = 200, min_count: int = 3, alpha: float = 0.01) -> DataFrame:
     """z of each term in its group against all other groups, with a Dirichlet prior. counts: group, term, n.
 
@@ -23,14 +37,8 @@ def log_odds(counts: DataFrame, group: str, n: int = 200, min_count: int = 3, al
     groups = counts.groupBy(group).agg(F.sum("n").alias("nt"))
     whole = background.agg(F.sum("bg").alias("all"), F.count("*").alias("v"))
     x = counts.where(F.col("n") >= min_count).join(background, "term").join(F.broadcast(groups), group).crossJoin(F.broadcast(whole))
-    a0, aw = F.lit(alpha) * F.greatest("v", F.lit(1)), F.lit(alpha) * F.greatest("bg", F.lit(1))
-    nr, yr = F.col("all") - F.col("nt"), F.col("bg") - F.col("n")
-    t0, t1, r0, r1 = F.col("n") + aw, F.col("nt") + a0 - F.col("n") - aw, yr + aw, nr + a0 - yr - aw
-    fit = (F.col("nt") > 0) & (nr > 0) & (t1 > 0) & (r0 > 0) & (r1 > 0)
-    z = F.round((F.log(t0 / t1) - F.log(r0 / r1)) / F.sqrt(1 / t0 + 1 / r0), 3)
-    scored = x.where(fit).select(group, "term", "n", z.alias("z"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("z"), F.desc("n"), "term"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    z = log_odds_z(*(F.col(c) for c in ("n", "nt", "bg", "all", "v")), alpha)
+    return ranked(x.select(group, "term", "n", z.alias("z")).where("z is not null"), [group], [F.desc("z"), F.desc("n"), F.asc("term")], n)
 
 
 def pmi_phrases(phrase_counts: DataFrame, word_counts: DataFrame, n: int = 120, min_count: int = 4, min_pmi: float = 2.0) -> DataFrame:

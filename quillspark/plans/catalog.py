@@ -35,10 +35,14 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import cleaning, log  # noqa: F401  add their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import cleaning, log  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -92,6 +96,28 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     return T.judged(found.groupBy("lang", "term").agg(F.count("*").alias("n")))
 
 
+# --- lines ---
+
+
+def _case_sql(key: str, values) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else _q(v)}" for i, v in enumerate(values)) + " END"
+
+
+_CLASS = f"""CASE WHEN s = '' THEN 'B' WHEN {' OR '.join(f'regexp_matches(s, {_q(p)})' for p in C.STRONG_LINES)} THEN 'S' WHEN regexp_matches(s, {_q(C.FENCE_LINE)}) THEN 'F' WHEN {' OR '.join(f'regexp_matches(s, {_q(p)})' for p in C.GLUE_LINES)} THEN 'G'
+ WHEN regexp_matches(s, {_q(C.PAIR_LINE)}) THEN CASE WHEN trim(regexp_extract(s, {_q(C.PAIR_LINE)}, 1)) <> '' AND regexp_matches(trim(regexp_extract(s, {_q(C.PAIR_LINE)}, 1)), {_q(C.SINGLE_VALUE)}) THEN 'g' ELSE 'A' END ELSE 'P' END"""
+
+
+def line_classes(source: str) -> str:
+    """Tables that end in kept (id, i, line): the lines of source (id, text) without structured regions, by windows over neighbours."""
+    return f"""l AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT id, string_split_regex(text, {_q(C.LINES)}) AS ls FROM {source})),
+k AS (SELECT id, i, line, {_CLASS} AS c FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l)),
+r AS (SELECT *, sum(CASE WHEN c = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS run FROM k),
+h AS (SELECT *, max(CASE WHEN c = 'S' THEN 1 ELSE 0 END) OVER w AS sure, min(CASE WHEN c IN ('S', 'F', 'G', 'g') THEN i END) OVER w AS lo, max(CASE WHEN c IN ('S', 'F', 'G', 'g') THEN i END) OVER w AS hi, lag(c) OVER (PARTITION BY id ORDER BY i) AS before FROM r WINDOW w AS (PARTITION BY id, run, c = 'P')),
+f AS (SELECT a.id, a.i AS lo, min(b.i) AS hi FROM h a JOIN h b ON a.id = b.id AND b.i > a.i AND b.i <= a.i + 40 WHERE a.c = 'F' AND (a.before IS NULL OR a.before = 'B') AND b.c IN ('F', 'P') GROUP BY ALL),
+g AS (SELECT f.id, f.lo, f.hi FROM f JOIN h e ON e.id = f.id AND e.i = f.hi AND e.c = 'F' WHERE f.hi > f.lo + 1 AND EXISTS (SELECT 1 FROM h x WHERE x.id = f.id AND x.i > f.lo AND x.i < f.hi AND x.c IN ('A', 'g'))),
+kept AS (SELECT id, i, line FROM h WHERE NOT (c <> 'P' AND sure = 1 AND (c <> 'A' OR (i > lo AND i < hi))) AND NOT EXISTS (SELECT 1 FROM g WHERE g.id = h.id AND h.i BETWEEN g.lo AND g.hi))"""
+
+
 # --- terms -----------------------------------------------------------------------------------
 
 
@@ -345,7 +371,7 @@ def unpriced_models(spark, d):
     return E.priced(_usage(spark, d), E.prices(spark)).where("cost is null and model is not null").select("model").distinct()
 
 
-@_query(f"WITH {_USAGE} SELECT round(sum(cache_read) / (sum(input) + sum(cache_read)), 4) AS rate FROM u")
+@_query(f"WITH {_USAGE} SELECT round(sum(cache_read) / (sum(input) + sum(cache_read) + sum(cache_write)), 4) AS rate FROM u")
 def cache_hit_rate(spark, d):
     return E.cache_hit_rate(_usage(spark, d))
 

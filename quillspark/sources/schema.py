@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import project_from_cwd as project_of  # noqa: F401
+
 USAGE = "struct<input: bigint, output: bigint, cache_read: bigint, cache_write: bigint>"
 EVENT = f"file string, line bigint, sub int, ts string, tool string, session_id string, project string, role string, kind string, text string, tool_name string, cmd string, exit_code int, ts_exact boolean, confidence string, tokens bigint, model string, usage {USAGE}"
 # Characters of text kept.
@@ -31,11 +33,13 @@ def finished(df: DataFrame, tool: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: list[str] | str, glob: str = "*.jsonl") -> DataFrame:
-    """file, line number, raw text of each non-blank line. Lines of a file are numbered where the file is read, so no shuffle orders them."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths, wholetext=True)
+    """file, line, raw text of each non-blank line. A file is split among tasks like any other; `line` orders its lines (where the
+    task's part begins plus the line's number in the task), so no shuffle has to."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
     # Spark's path metadata is a URI: paths with reserved characters come percent-encoded
-    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
-    return rows.where(F.trim("raw") != "").withColumn("line", F.col("line").cast("bigint"))
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), place.alias("line"), F.col("value").alias("raw"))
+    return rows.where(F.trim("raw") != "")
 
 
 def iso(ts: Column) -> Column:
@@ -43,11 +47,3 @@ def iso(ts: Column) -> Column:
     n = ts.cast("string").try_cast("double")
     t = F.when(n > 1e12, F.timestamp_millis(n.cast("bigint"))).when(n.isNotNull(), F.timestamp_seconds(n)).otherwise(ts.cast("string").try_cast("timestamp"))
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
-def project_of(cwd: Column) -> Column:
-    """A working directory's label: the repository before a worktree folder, `tmp` for temporary folders, `unknown` for none."""
-    base = F.regexp_extract(cwd, r"([^/]+)/\.(?:claude|codex)/worktrees/", 1)
-    named = F.regexp_extract(cwd, r"\.codex/worktrees/[^/]+/([^/]+)", 1)
-    tail = F.regexp_extract(cwd, r"([^/]+)/*$", 1)
-    return F.when(cwd.isNull() | (F.trim(cwd) == "") | (cwd == "/"), "unknown").when(cwd.rlike(r"^(?:/private)?/(?:tmp|var/folders)(?:/|$)"), "tmp").when(named != "", named).when(base != "", base).otherwise(tail)

@@ -44,16 +44,25 @@ def test_tokens_drop_secrets_hosts_and_noise(spark):
     assert one(spark, "The compiler at izs.com sk-proj-ab3xq9plm2 función 12 qwrtp i18nmanager", T.tokens) == ["compiler", "función", "i18nmanager"]
 
 
-@pytest.mark.parametrize(("line", "want"), [('"type": "string",', 3), ("Note: read this first", 1), ("Examples:", 1), ("line-length = 88", 2), ("}", 2), ("---", 2), ("plain words here", 0), ("", -1)])
-def test_struct_class(line, want):
-    assert C.struct_class(line) == want
+def test_kinds_of_lines(spark):
+    lines = {'"type": "string",': "S", "[tool.black]": "S", '{"a b/c": 1': "S", "Note: read this first": "A", "Examples:": "A", "line-length = 88": "g", "}": "G", "'x',": "G", "---": "F", "plain words here": "P", "": "B", " \t": "B"}
+    assert {t: one(spark, t, C.line_kind) for t in lines} == lines
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("---\nname: x\n---\nwords that stay", "words that stay"), ("words first\n---\nname: x\n---\nwords that stay", "words first\n---\nname: x\n---\nwords that stay"),
+    ("---\n\n---\nwords that stay", "---\n\n---\nwords that stay"), ('first words\n"k": 1\nsecond words', "first words\nsecond words"), (None, None), ("", ""),
+    ('Label: of it\n"k": 1\nInner: two words\n}\nLast: one more', "Label: of it\nLast: one more"),
+])
+def test_structured_regions(spark, text, want):
+    assert one(spark, text, C.without_structure) == want
 
 
 @pytest.mark.parametrize(("text", "want"), [
     ('Note: read this first\n"type": "string"\n}', "Note: read this first"), ('{\n"type": "string"\n}\nIMPORTANT: check the loader', "IMPORTANT: check the loader"),
     ('[tool.black]\nline-length = 88\ntarget-version = "py39"\n\nDoes that look right?', "Does that look right?"), ("see https://x.y/z and a@b.co now", "see and now"), (None, ""),
 ])
-def test_clean_prose(spark, text, want):
+def test_clean_prose(spark, text, want):  # also against SQL: plans/cleaning.py
     assert one(spark, text, C.clean_prose) == want
 
 
