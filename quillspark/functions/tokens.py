@@ -5,6 +5,8 @@ Whether a token is vocabulary takes a dozen patterns, so it is asked of distinct
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +89,24 @@ def phrases(text: Column) -> Column:
 
 
 def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """Word n-grams with function words inside, neither first nor last, every word word-like."""
-    found = F.filter(raw_tokens(text), lambda t: t != "")
+    """Word n-grams with function words inside, neither first nor last, every word word-like. A word is judged once, whatever grams it is in."""
+
+    def kind(w: Column) -> Column:
+        return F.when(~w.rlike(W.WORD_LIKE), "x").when(w.isin(W.BASE_STOP), "s").otherwise("g")
+
+    def of(words: Column) -> Column:
+        judged_ = F.transform(words, lambda w: F.struct(w.alias("w"), kind(w).alias("k")))
+
+        def grams(rows: Column, n: int) -> Column:
+            shifted = F.arrays_zip(*(F.slice(rows, i + 1, F.greatest(F.size(rows) - n + 1, F.lit(0))).alias(f"r{i}") for i in range(n)))
+            inner = lambda x: functools.reduce(Column.__and__, (x[f"r{i}"]["k"] != "x" for i in range(1, n - 1)), F.lit(True))
+            good = F.filter(shifted, lambda x: (x["r0"]["k"] == "g") & (x[f"r{n - 1}"]["k"] == "g") & inner(x))
+            return F.transform(good, lambda x: F.concat_ws(" ", *(x[f"r{i}"]["w"] for i in range(n))))
 
-    def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i: F.slice(found, i, n))
-        good = F.filter(grams, lambda g: ~F.element_at(g, 1).isin(W.BASE_STOP) & ~F.element_at(g, n).isin(W.BASE_STOP) & F.forall(g, lambda w: w.rlike(W.WORD_LIKE)))
-        return F.when(F.size(found) >= n, F.transform(good, lambda g: F.concat_ws(" ", g))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array(judged_), lambda rows: F.concat(*(grams(rows, n) for n in sizes)))[0]
 
-    return F.concat(*(of(n) for n in sizes))
+    found = F.array(F.filter(raw_tokens(text), lambda t: t != ""))
+    return F.transform(found, of)[0]
 
 
 def shingle_key(text: Column, n: int = 6) -> Column:
