@@ -106,7 +106,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     key = [F.xxhash64(F.lit(i), F.col(text_col).cast("string")) for i in (1, 2)]
     own = docs.select(key[0].alias("_a"), key[1].alias("_b"), _words(text_col).alias("words"))
     gone = stored(_laid(own, ["_a", "_b"], items, item_id, item_text).select("_a", "_b").distinct(), "leaks")
-    return docs.join(gone, (key[0] == F.col("_a")) & (key[1] == F.col("_b")), "left_anti")
+    return docs.join(gone, (key[0] == gone["_a"]) & (key[1] == gone["_b"]), "left_anti")
 
 
 def oracle_sql(docs: str = "documents", items: str = "benchmark") -> str:

@@ -294,4 +294,5 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     near = near_duplicates(rows, k, percent, number, text_col).select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_part"))
     named = rows.select(F.col(number).alias("_of"), F.col(id_col).cast("long").alias("_id")).join(near, "_of")
     first = named.groupBy("_part").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_of"))["_of"].alias("_of"))
-    return rows.join(stored(first, "stay"), rows[number] == F.col("_of"), "left_semi").drop(number)
+    stay = stored(first, "stay")
+    return rows.join(stay, rows[number] == stay["_of"], "left_semi").drop(number)
