@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, so repeated rows and ids, or ids of null, make no difference. Where no row has a language, nothing can be learnt
     and every row is rejected."""
     model = language.train(docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model"))
-    found = language.predicted(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
-    return found.select(*docs.columns)
+    held = {c: f"_held_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # a document's own columns of these names stay
+    found = language.predicted(docs.withColumnsRenamed(held), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
