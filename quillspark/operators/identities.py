@@ -213,3 +213,21 @@ def project_labels(events: DataFrame) -> DataFrame:
     own = events.select(F.col("project").alias("label")).where("label <> ''").distinct()
     repo = normalize_project(F.col("label"))
     return own.select("label", branch_of_label(F.col("label")).alias("branch"), F.when(branch_of_label(F.col("label")).isNotNull() & (repo != "unknown"), F.lower(repo)).alias("repo"))
+
+
+def account_names(home: str, user: str = "", extra: Iterable[str] = ()) -> list[str]:
+    """Names of a machine's owner that terms are searched for: the login, the home folder's name and others given, of three letters or more."""
+    names = {x.strip().lower() for x in (user, home.rstrip("/").rpartition("/")[2], *extra) if x}
+    return sorted(n for n in names if len(n) >= 3)
+
+
+def repository_configs(folders: Iterable[str], up: int = 6, most: int = 120) -> list[str]:
+    """Configurations of the distinct repositories that folders on this machine lie in, at most `most`: the nearest real .git folder above each. Linked worktrees are passed over, since their repository has the same remotes."""
+    roots: dict[Path, None] = {}
+    for folder in sorted(set(folders)):
+        here = Path(folder)
+        root = next((p for p in [here, *here.parents][:up] if (p / ".git").is_dir()), None)
+        if root is not None:
+            roots.setdefault(root)
+    found = (r / ".git" / "config" for r in list(roots)[:most])
+    return [f.read_text(encoding="utf-8", errors="replace") for f in found if f.is_file()]

@@ -23,10 +23,19 @@ def bad_lines(spark: SparkSession, paths, glob: str = "*.jsonl") -> DataFrame:
     return _parsed(spark, paths, glob).groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("v").isNull()).alias("bad"))
 
 
-def _flat(content: Column) -> Column:
-    """Text of a string, or of a list of blocks."""
-    blocks = F.try_variant_get(content, "$", "array<struct<text: string>>")
-    return F.coalesce(F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n"), F.try_variant_get(content, "$", "string"), F.lit(""))
+def _flat(content: Column, depth: int = 3) -> Column:
+    """Text of a string, or of a list of strings and blocks, whose content may be such a list again."""
+    text = F.try_variant_get(content, "$", "string")
+    if not depth:
+        return F.coalesce(text, F.lit(""))
+
+    def one(block: Column) -> Column:
+        inner = F.coalesce(F.try_variant_get(block, "$.text", "string"), _flat(F.try_variant_get(block, "$.content", "variant"), depth - 1))
+        return F.when(F.schema_of_variant(block) == "STRING", F.try_variant_get(block, "$", "string")).otherwise(inner)
+
+    # a list tried first: a list may be cast to a string, a string is no list
+    parts = F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), one), lambda x: x != "")
+    return F.coalesce(F.array_join(parts, "\n"), text, F.lit(""))
 
 
 def claude_code(spark: SparkSession, paths) -> DataFrame:

@@ -220,3 +220,64 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op1_') for k in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(got[0]) > 60 and got[1:] == ["False", "False", "True"]
+
+
+def test_a_document_is_scrubbed_in_all_its_parts():
+    from quillspark.operators import share
+
+    document = {
+        "generated_at": "now", "clouds": {"global": {"prose_user": [{"t": "fine", "n": 3}, {"t": "a.tsx", "n": 2}, {"t": "secretrepo", "n": 1}], "tools": [{"t": "mcp__a__shot", "n": 7}, {"t": "mcp__b__shot", "n": 6}, {"t": "mcp__onlytwoparts", "n": 1}], "errors": [{"t": "x", "n": 1}]}, "by_project": {"secretrepo": {}}, "by_month": {}},
+        "trends": {"rising": [{"t": "janedoe-thing", "n": 1}, {"t": "good", "n": 1}]}, "wrapped": {"top_words": [["fine", 3], ["http://x", 2]], "top_phrase": "secretrepo rocks", "rising_word": "good"},
+        "activity": {"top_projects": [{"t": "other-repo", "n": 1}], "session_lengths": [{"t": "s1", "n": 1}]}, "spend": {"estimates_note": "list prices"},
+    }
+    before = json.dumps(document)
+    got, report = share.shared(document, ["janedoe"])
+    assert json.dumps(document) == before and got["share_mode"] and share.names_of(document) == ["other-repo", "secretrepo"]
+    assert got["clouds"]["global"] == {"prose_user": [{"t": "fine", "n": 3}], "tools": [{"t": "mcp:shot", "n": 13}, {"t": "mcp__onlytwoparts", "n": 1}], "errors": [{"t": share.NOTICE, "n": 0}]}
+    assert got["clouds"]["by_project"] == {} and got["trends"]["rising"] == [{"t": "good", "n": 1}] and got["wrapped"] == {"top_words": [["fine", 3]], "rising_word": "good"}
+    assert got["activity"] == {"top_projects": [{"t": "project 01", "n": 1}], "session_lengths": [{"t": "session 01", "n": 1}]} and got["spend"]["estimates_note"].startswith("list prices · ")
+    assert report == {"terms_dropped": 5, "facets_dropped": 4}
+
+
+def test_blocks_within_blocks_are_flattened(spark, tmp_path):
+    from quillspark.sources import SOURCES
+
+    blocks = [{"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": "one"}, "two", {"content": [{"text": "three"}, {"content": "four"}]}, {"x": 1}]}]
+    (tmp_path / "a.jsonl").write_text(json.dumps({"type": "user", "sessionId": "s", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": blocks}}))
+    assert [r.text for r in SOURCES["claude_code"](spark, str(tmp_path)).collect()] == ["one\ntwo\nthree\nfour"]
+
+
+def test_workspaces_and_envelopes(spark, tmp_path):
+    import sqlite3
+
+    from quillspark.sources import SOURCES
+    from quillspark.sources.whole import unreadable
+
+    (tmp_path / "ws").mkdir()
+    (tmp_path / "ws" / "workspace.json").write_text(json.dumps({"folder": "file:///Users/x/Projects/my%20app"}))
+    db = sqlite3.connect(tmp_path / "ws" / "state.vscdb")
+    db.execute("create table ItemTable(key text, value blob)")
+    db.execute("insert into ItemTable values ('composer.composerData', ?)", (json.dumps({"allComposers": [{"composerId": "c2"}]}),))
+    db.commit()
+    db = sqlite3.connect(tmp_path / "state.vscdb")
+    db.execute("create table cursorDiskKV(key text, value blob)")
+    rows = {"composerData:c1": {"createdAt": 1, "workspaceIdentifier": {"uri": {"fsPath": "/w/finn"}}}, "bubbleId:c1:a": {"type": 1, "text": "q1"}, "composerData:c2": {"createdAt": 1}, "bubbleId:c2:a": {"type": 1, "text": "q2"},
+            "composerData:c3": {"createdAt": 1}, "bubbleId:c3:a": {"type": 1, "text": "q3", "workspaceProjectDir": "/h/.cursor/projects/-Users-x-Projects-nimbus"}, "composerData:c4": {"createdAt": 1}, "bubbleId:c4:a": {"type": 1, "text": "q4"}, "bubbleId:c4:b": {"type": 2, "text": "a4", "workspaceUris": ["file:///w/otter"]}}
+    db.executemany("insert into cursorDiskKV values (?, ?)", [(k, json.dumps(v)) for k, v in rows.items()])
+    db.commit()
+    assert {r.session_id: r.project for r in SOURCES["cursor"](spark, str(tmp_path)).collect()} == {"c1": "finn", "c2": "my app", "c3": "nimbus", "c4": "otter"}
+
+    def packed(*texts):
+        return b"".join(bytes([10, len(t)]) + t for t in (x.encode() for x in texts))
+
+    (tmp_path / "conv").mkdir()
+    db = sqlite3.connect(tmp_path / "conv" / "c.db")
+    db.execute("create table steps(idx integer, step_type integer, step_payload blob)")
+    db.execute("create table trajectory_metadata_blob(data blob)")
+    db.execute("insert into trajectory_metadata_blob values (?)", (packed("some note here", "file:///Users/x/Projects/velvet"),))
+    db.executemany("insert into steps values (?, ?, ?)", [(1, 14, packed("123e4567-e89b-12d3-a456-426614174000-is-not", "please look at it", "sessionId: 12345678")), (2, 15, packed('{"message": "inner words"}', "short")), (3, 21, packed('{"CommandLine": "ls -l"}'))])
+    db.commit()
+    (tmp_path / "conv" / "torn.db").write_bytes(b"no database")
+    got = SOURCES["antigravity"](spark, str(tmp_path / "conv")).orderBy("line").collect()
+    assert [(r.kind, r.text, r.cmd, r.project) for r in got][1:] == [("thinking", "inner words", None, "velvet"), ("tool_call", '{"CommandLine": "ls -l"}', "ls -l", "velvet")]
+    assert sorted((r.file.rpartition("/")[2], r.bad) for r in unreadable(spark, str(tmp_path / "conv"), "*.db", "steps").collect()) == [("c.db", False), ("torn.db", True)]
