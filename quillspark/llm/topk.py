@@ -10,7 +10,7 @@ of that bound until it falls below the worst kth score.
 
 Rows lie in the order of their nearest pivot (REGIONS at most, spread over a sample of rows), in ranges of like size, so that
 a region of any size spreads over tasks; a block is up to BLOCK neighbours in that order. First each query meets the block
-that it lies in, which gives it a kth score to begin with. Then queries go, in groups of QUERIES, to all tasks, and a task
+that it lies in, directly, which gives it a kth score to begin with. Then queries go, in groups of QUERIES, to all tasks, and a task
 carries their best from block to block; it returns k rows a query at most. A block that no query's bound reaches gets no tree.
 
 What pruning can save depends on the data: next to all of it among points of few dimensions or in clusters, nothing among
@@ -275,11 +275,16 @@ def best_products(vectors: DataFrame, queries: Column, k: int = 5, id_col: str =
             yield block()
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_threaded()
         for block in blocks(batches):
-            x, row, asks = block["x"], block["row"], block["asks"]
-            search = Search(x[asks], row[asks], k)
-            search.show(x, row, block["vec_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(row[asks]), pa.array(search.need)], ["row", "floor"])
+            x, at = block["x"], np.flatnonzero(block["asks"])
+            floor = np.full(len(at), LOW, np.int64)
+            if len(x) > k and len(at):
+                score = x[at] @ x.T
+                score[np.arange(len(at)), at] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k]
+                floor = np.floor(least - np.abs(least) * 1e-9).clip(LOW, -LOW).astype(np.int64)  # no higher than the exact score
+            yield pa.RecordBatch.from_arrays([pa.array(block["row"][at]), pa.array(floor)], ["row", "floor"])
 
     floors = rows.mapInArrow(home, "row long, floor long")
     groups = max(1, -(-asked // QUERIES))
