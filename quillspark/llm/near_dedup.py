@@ -296,3 +296,16 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     first = named.groupBy("_part").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_of"))["_of"].alias("_of"))
     stay = stored(first, "stay")
     return rows.join(stay, rows[number] == stay["_of"], "left_semi").drop(number)
+
+
+def oracle_sql(k: int, percent: int, table: str = "documents") -> str:
+    """near_duplicates() without links in DuckDB's SQL: every shingle meets every equal one. Ids are distinct."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {table}),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {k} THEN ws ELSE ws[i : i + {k - 1}] END AS g FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - {k - 1}, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(array_to_string(g, ' '), chr(10) ORDER BY g)) AS key FROM g GROUP BY 1), c AS (SELECT key, min(doc_id) AS node, any_value(n) AS n FROM n GROUP BY 1),
+s AS (SELECT node, c.n, g FROM c JOIN g ON g.doc_id = c.node),
+l AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+p AS (SELECT node, least(node, coalesce((SELECT min(b) FROM r WHERE r.a = node), node)) AS part FROM c)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(p.part, w.doc_id) AS component_id, w.doc_id = coalesce(p.part, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (key) LEFT JOIN p USING (node)"""

@@ -40,7 +40,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("links")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +79,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_fixity": f"""WITH a AS (SELECT page_id, {hashed('html')} AS h FROM pages), b AS (SELECT page_id, {hashed(spoilt)} AS h FROM pages WHERE page_id % 101 <> 7)
 SELECT coalesce(a.page_id, b.page_id) AS record_id, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'added' ELSE 'changed' END AS fault FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.h IS DISTINCT FROM b.h""",
+        "op5_minhash_near_dedup": near_dedup.oracle_sql(4, 80),
+        "op6_exact_topk": topk.oracle_sql("vec_id % 50 = 0", 5),
         "op7_benchmark_decontamination": decontaminate.oracle_sql(),
     }

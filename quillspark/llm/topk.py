@@ -311,3 +311,10 @@ def best_products(vectors: DataFrame, queries: Column, k: int = 5, id_col: str =
         shared.unpersist()
     dropped(spark, since, keep=groups)
     return met
+
+
+def oracle_sql(queries: str, k: int, table: str = "embeddings") -> str:
+    """best_products() in DuckDB's SQL: every query's product with every row."""
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM {table} WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.e, r.e)::BIGINT AS score FROM (SELECT * FROM v WHERE {queries}) q JOIN v r ON q.vec_id <> r.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"""
