@@ -40,20 +40,20 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.when(F.col("role") == "user", "prompt").when(F.col("role") == "assistant", "reply").otherwise("meta")
     none = F.lit(None).cast("string")
-    talk = talk.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), iso(at).alias("ts"), _case(F.col("conv_id"), _TOOLS).alias("tool"), F.col("conv_id").cast("string").alias("session_id"), _case(F.col("conv_id"), ("finn", "nimbus", None)).alias("project"), "role", kind.alias("kind"), "text",
+    talk = talk.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), iso(at).alias("ts"), _case(F.col("conv_id"), _TOOLS).alias("tool"), F.col("conv_id").cast("string").alias("session_id"), _case(F.col("conv_id"), ("ferry", "cedar", None)).alias("project"), "role", kind.alias("kind"), "text",
         none.alias("tool_name"), none.alias("cmd"), F.lit(None).cast("long").alias("tokens"), F.when(F.col("role").isin("user", "assistant"), F.col("text")).otherwise("").alias("prose"), F.lit("exact").alias("confidence"))
     e = _t(spark, d, "events")
     kind = F.when(F.col("event_type").isin("click", "view"), "tool_call").when(F.col("event_type") == "error", "error").otherwise("meta")
     fails = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("Exit code "), F.col("event_id").cast("string"))).otherwise(_case(F.col("event_id"), _FAILS))
-    acts = e.select((F.col("event_id") + (1 << 50)).alias("seq"), iso(F.col("ts")).alias("ts"), _case(F.col("user_id"), _TOOLS).alias("tool"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), _case(F.col("user_id"), ("finn", "velvet", "", "nimbus")).alias("project"), F.lit("assistant").alias("role"), kind.alias("kind"),
+    acts = e.select((F.col("event_id") + (1 << 50)).alias("seq"), iso(F.col("ts")).alias("ts"), _case(F.col("user_id"), _TOOLS).alias("tool"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), _case(F.col("user_id"), ("ferry", "maple", "", "cedar")).alias("project"), F.lit("assistant").alias("role"), kind.alias("kind"),
         F.when(kind == "tool_call", _case(F.col("event_id"), _TEXTS)).when(kind == "error", fails).alias("text"), F.when(kind == "tool_call", _case(F.col("user_id"), ("shell", "", "edit"))).alias("tool_name"), F.when(kind == "tool_call", _case(F.col("event_id"), _CMDS)).alias("cmd"),
         F.when(F.col("event_id") % 2 == 0, F.floor("value").cast("long")).alias("tokens"), F.lit("").alias("prose"), F.when(F.col("event_id") % 7 == 0, "heuristic").otherwise("exact").alias("confidence"))
     return talk.unionByName(acts)
 
 
-_LOG = f"""log0 AS (SELECT conv_id * 100000 + turn AS seq, strftime(make_timestamp((1767225600 + conv_id * 25200 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, {_case_sql('conv_id', _TOOLS)} AS tool, conv_id::VARCHAR AS session_id, {_case_sql('conv_id', ('finn', 'nimbus', None))} AS project, role,
+_LOG = f"""log0 AS (SELECT conv_id * 100000 + turn AS seq, strftime(make_timestamp((1767225600 + conv_id * 25200 + turn * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts, {_case_sql('conv_id', _TOOLS)} AS tool, conv_id::VARCHAR AS session_id, {_case_sql('conv_id', ('ferry', 'cedar', None))} AS project, role,
  CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'reply' ELSE 'meta' END AS kind, text, NULL::VARCHAR AS tool_name, NULL::VARCHAR AS cmd, NULL::BIGINT AS tokens, CASE WHEN role IN ('user', 'assistant') THEN text ELSE '' END AS prose, 'exact' AS confidence FROM conversations
-UNION ALL SELECT event_id + {1 << 50}, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), {_case_sql('user_id', _TOOLS)}, 'u' || user_id, {_case_sql('user_id', ('finn', 'velvet', '', 'nimbus'))}, 'assistant', CASE WHEN event_type IN ('click', 'view') THEN 'tool_call' WHEN event_type = 'error' THEN 'error' ELSE 'meta' END,
+UNION ALL SELECT event_id + {1 << 50}, strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), {_case_sql('user_id', _TOOLS)}, 'u' || user_id, {_case_sql('user_id', ('ferry', 'maple', '', 'cedar'))}, 'assistant', CASE WHEN event_type IN ('click', 'view') THEN 'tool_call' WHEN event_type = 'error' THEN 'error' ELSE 'meta' END,
  CASE WHEN event_type IN ('click', 'view') THEN {_case_sql('event_id', _TEXTS)} WHEN event_type = 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'Exit code ' || event_id ELSE {_case_sql('event_id', _FAILS)} END END, CASE WHEN event_type IN ('click', 'view') THEN {_case_sql('user_id', ('shell', '', 'edit'))} END, CASE WHEN event_type IN ('click', 'view') THEN {_case_sql('event_id', _CMDS)} END,
  CASE WHEN event_id % 2 = 0 THEN floor(value)::BIGINT END, '', CASE WHEN event_id % 7 = 0 THEN 'heuristic' ELSE 'exact' END FROM events),
 log1 AS (SELECT * EXCLUDE (tool, project), coalesce(nullif(tool, ''), 'unknown') AS tool, coalesce(nullif(project, ''), 'unknown') AS project, (strptime(ts, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 3 HOUR) AS wall FROM log0),
@@ -182,9 +182,9 @@ def voice_phrases(spark, d):
 
 @_query(f"""WITH {_LOG}, {_TALK}, {_SPOKEN}, {_ACTS}, f AS (SELECT facet, t, n FROM spoken WHERE scope = 'global' AND facet IN ('prose_user', 'prose_assistant') UNION ALL SELECT facet, t, count(*) FROM acts WHERE scope = 'global' AND facet IN ('tools', 'commands') AND t IS NOT NULL GROUP BY ALL),
 k AS (SELECT facet, count(*) >= 400 AS long FROM f GROUP BY 1)
-SELECT facet, t, n, CASE WHEN long AND facet LIKE 'prose%' AND n < 2 THEN 'rare' WHEN regexp_matches(t, '(?i)(^|[^0-9A-Za-z])thand') THEN 'redacted' WHEN regexp_matches(lower(t), '[a-z0-9_][.][a-z0-9_]|[\\\\/@]|https?:') OR contains(lower(t), 'admin') OR regexp_matches(lower(t), '(^|[^a-z0-9])(finn|npm)($|[^a-z0-9])') THEN 'harvested' ELSE 'kept' END AS verdict FROM f JOIN k USING (facet)""")
+SELECT facet, t, n, CASE WHEN long AND facet LIKE 'prose%' AND n < 2 THEN 'rare' WHEN regexp_matches(t, '(?i)(^|[^0-9A-Za-z])thand') THEN 'redacted' WHEN regexp_matches(lower(t), '[a-z0-9_][.][a-z0-9_]|[\\\\/@]|https?:') OR contains(lower(t), 'admin') OR regexp_matches(lower(t), '(^|[^a-z0-9])(ferry|npm)($|[^a-z0-9])') THEN 'harvested' ELSE 'kept' END AS verdict FROM f JOIN k USING (facet)""")
 def vocabulary_gate(spark, d):
-    return D.gated(B.facet_terms(log(spark, d), ZONE), ["thand"], ["admin"], ["finn", "npm"])
+    return D.gated(B.facet_terms(log(spark, d), ZONE), ["thand"], ["admin"], ["ferry", "npm"])
 
 
 # --- labels and times ------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def test_local_times(spark, ts, zone, day, hour):
 
 
 @pytest.mark.parametrize(("cwd", "want"), [
-    ("/w/finn/.claude/worktrees/b", "finn"), ("/w/finn/.worktrees/b/src", "finn"), ("/home/y/.codex/worktrees/1860/finn", "finn"), ("/h/x/.codex/worktrees/1860/finn", "x"), ("/Users/x/conductor/workspaces/finn/zurich", "finn"), ("/private/tmp/x", "tmp"), ("/var/folders/a", "tmp"),
+    ("/w/ferry/.claude/worktrees/b", "ferry"), ("/w/ferry/.worktrees/b/src", "ferry"), ("/home/y/.codex/worktrees/1860/ferry", "ferry"), ("/h/x/.codex/worktrees/1860/ferry", "x"), ("/Users/x/conductor/workspaces/ferry/zurich", "ferry"), ("/private/tmp/x", "tmp"), ("/var/folders/a", "tmp"),
     ("/", "unknown"), ("", "unknown"), (None, "unknown"), ("/Users/x", "~"), ("/Users/x/", "~"), ("/Users/x/Projects/demo", "demo"), ("/srv/worktrees/1860", "unknown"), ("/tmpfiles/a", "a"), ("/Users/y/.worktrees/cafe", "cafe"),
 ])
 def test_project_labels(spark, cwd, want):
@@ -60,8 +60,8 @@ def test_project_labels(spark, cwd, want):
 
 def test_encoded_folders(spark, tmp_path):
     assert one(spark, "-Users-x-Projects-my-web-app", P.decoded_dashes) == "/Users/x/Projects/my-web-app"
-    assert one(spark, "-Users-x-Projects-finn--claude-worktrees-arm-b", P.decoded_dashes) == "/Users/x/Projects/finn/.claude/worktrees/arm-b"
-    assert one(spark, "-Users-x-Projects-finn--claude-worktrees-arm-b", P.project_from_encoded) == "finn"
+    assert one(spark, "-Users-x-Projects-ferry--claude-worktrees-arm-b", P.decoded_dashes) == "/Users/x/Projects/ferry/.claude/worktrees/arm-b"
+    assert one(spark, "-Users-x-Projects-ferry--claude-worktrees-arm-b", P.project_from_encoded) == "ferry"
     assert one(spark, "%2FUsers%2Fx%2Fmy-app", P.project_from_encoded) == "my-app" and one(spark, "--", P.project_from_encoded) == "unknown"
     known = {"/a", "/a/my-web", "/a/my-web/app-x", "/a/my-web/app-x/.hid"}
     assert I.decode_dash_path("-a-my-web-app-x--hid", known.__contains__) == "/a/my-web/app-x/.hid"
@@ -69,21 +69,21 @@ def test_encoded_folders(spark, tmp_path):
 
 
 def test_linked_worktrees_are_their_repositories(spark, tmp_path):
-    admin = tmp_path / "finn" / ".git" / "worktrees" / "loop"
+    admin = tmp_path / "ferry" / ".git" / "worktrees" / "loop"
     admin.mkdir(parents=True)
     (admin / "HEAD").write_text("ref: refs/heads/main_writer\n")
-    beside = tmp_path / "finn-loop" / "src"
+    beside = tmp_path / "ferry-loop" / "src"
     beside.mkdir(parents=True)
-    (tmp_path / "finn-loop" / ".git").write_text(f"gitdir: {admin}\n")
-    assert I.linked_worktree(str(beside)) == (str(tmp_path / "finn"), "main_writer") and I.linked_worktree(str(tmp_path / "finn")) is None
-    assert [tuple(r) for r in I.worktree_labels(spark, [str(beside)]).collect()] == [(str(beside), "finn", "main_writer")]
+    (tmp_path / "ferry-loop" / ".git").write_text(f"gitdir: {admin}\n")
+    assert I.linked_worktree(str(beside)) == (str(tmp_path / "ferry"), "main_writer") and I.linked_worktree(str(tmp_path / "ferry")) is None
+    assert [tuple(r) for r in I.worktree_labels(spark, [str(beside)]).collect()] == [(str(beside), "ferry", "main_writer")]
 
 
 def test_old_labels_are_repaired(spark):
-    events = spark.createDataFrame([("finn--claude-worktrees-native-ota",), ("loop-writer",), ("secret-thing",), ("keep",)], "project string")
-    branches = spark.createDataFrame([("loop-writer", "finn"), ("native-ota", "")], "branch string, repo string")
-    assert [r.project for r in I.relabelled(events, branches, ["secret-thing"]).collect()] == ["finn", "finn", "redacted", "keep"]
-    assert sorted((r.label, r.branch, r.repo) for r in I.project_labels(events).where("branch is not null").collect()) == [("finn--claude-worktrees-native-ota", "native-ota", "finn")]
+    events = spark.createDataFrame([("ferry--claude-worktrees-native-ota",), ("loop-writer",), ("secret-thing",), ("keep",)], "project string")
+    branches = spark.createDataFrame([("loop-writer", "ferry"), ("native-ota", "")], "branch string, repo string")
+    assert [r.project for r in I.relabelled(events, branches, ["secret-thing"]).collect()] == ["ferry", "ferry", "redacted", "keep"]
+    assert sorted((r.label, r.branch, r.repo) for r in I.project_labels(events).where("branch is not null").collect()) == [("ferry--claude-worktrees-native-ota", "native-ota", "ferry")]
 
 
 def test_identities_from_configuration(tmp_path):
@@ -94,17 +94,17 @@ def test_identities_from_configuration(tmp_path):
     assert accepted == ["doe", "jane", "jane doe", "janecorp", "janed", "jdoe"] and refused == [("the", "short")]
     (tmp_path / "r.txt").write_text("# note\n\nriver\nriver\nstone \n")
     assert I.read_redact_file(str(tmp_path / "r.txt")) == ["river", "stone"] and I.read_redact_file(str(tmp_path / "none")) == []
-    assert D.write_sidecar({"identities": ["river"], "branch_repos": {"combat-engine": "finn"}, "explicit": "no list"}, str(tmp_path / "redact.json")) is None
+    assert D.write_sidecar({"identities": ["river"], "branch_repos": {"cargo-engine": "ferry"}, "explicit": "no list"}, str(tmp_path / "redact.json")) is None
     old = I.read_sidecar(str(tmp_path / "redact.json"))
     every, by = I.redaction([], old, ["Stone"])
-    assert by["explicit"] == ["stone"] and "combat-engine" in by["branches"] and {"river", "worktree-combat-engine"} <= set(every)
+    assert by["explicit"] == ["stone"] and "cargo-engine" in by["branches"] and {"river", "worktree-cargo-engine"} <= set(every)
     assert I.redaction([], old, mode="off")[0] == ["river"] and I.redaction([], old, mode="decorated")[1]["branches"] == []
     assert I.read_sidecar(str(tmp_path / "r.txt")) == {} and I.unmasked("a river runs", ["river", "stone"]) == ["river"]
 
 
 def test_literals_and_labels(spark):
-    assert one(spark, "combat_engine-notes", lambda c: C.hits(c, ["combat-engine"])) and not one(spark, "driver", lambda c: C.hits(c, ["river"]))
-    assert [one(spark, t, lambda c: C.scrub_label(c, ["combat-engine"])) for t in ("combat-engine", "keep")] == ["redacted", "keep"]
+    assert one(spark, "cargo_engine-notes", lambda c: C.hits(c, ["cargo-engine"])) and not one(spark, "driver", lambda c: C.hits(c, ["river"]))
+    assert [one(spark, t, lambda c: C.scrub_label(c, ["cargo-engine"])) for t in ("cargo-engine", "keep")] == ["redacted", "keep"]
 
 
 def test_tokens_of_other_scripts(spark):
@@ -261,11 +261,11 @@ def test_workspaces_and_envelopes(spark, tmp_path):
     db.commit()
     db = sqlite3.connect(tmp_path / "state.vscdb")
     db.execute("create table cursorDiskKV(key text, value blob)")
-    rows = {"composerData:c1": {"createdAt": 1, "workspaceIdentifier": {"uri": {"fsPath": "/w/finn"}}}, "bubbleId:c1:a": {"type": 1, "text": "q1"}, "composerData:c2": {"createdAt": 1}, "bubbleId:c2:a": {"type": 1, "text": "q2"},
-            "composerData:c3": {"createdAt": 1}, "bubbleId:c3:a": {"type": 1, "text": "q3", "workspaceProjectDir": "/h/.cursor/projects/-Users-x-Projects-nimbus"}, "composerData:c4": {"createdAt": 1}, "bubbleId:c4:a": {"type": 1, "text": "q4"}, "bubbleId:c4:b": {"type": 2, "text": "a4", "workspaceUris": ["file:///w/otter"]}}
+    rows = {"composerData:c1": {"createdAt": 1, "workspaceIdentifier": {"uri": {"fsPath": "/w/ferry"}}}, "bubbleId:c1:a": {"type": 1, "text": "q1"}, "composerData:c2": {"createdAt": 1}, "bubbleId:c2:a": {"type": 1, "text": "q2"},
+            "composerData:c3": {"createdAt": 1}, "bubbleId:c3:a": {"type": 1, "text": "q3", "workspaceProjectDir": "/h/.cursor/projects/-Users-x-Projects-cedar"}, "composerData:c4": {"createdAt": 1}, "bubbleId:c4:a": {"type": 1, "text": "q4"}, "bubbleId:c4:b": {"type": 2, "text": "a4", "workspaceUris": ["file:///w/birch"]}}
     db.executemany("insert into cursorDiskKV values (?, ?)", [(k, json.dumps(v)) for k, v in rows.items()])
     db.commit()
-    assert {r.session_id: r.project for r in SOURCES["cursor"](spark, str(tmp_path)).collect()} == {"c1": "finn", "c2": "my app", "c3": "nimbus", "c4": "otter"}
+    assert {r.session_id: r.project for r in SOURCES["cursor"](spark, str(tmp_path)).collect()} == {"c1": "ferry", "c2": "my app", "c3": "cedar", "c4": "birch"}
 
     def packed(*texts):
         return b"".join(bytes([10, len(t)]) + t for t in (x.encode() for x in texts))
@@ -274,10 +274,10 @@ def test_workspaces_and_envelopes(spark, tmp_path):
     db = sqlite3.connect(tmp_path / "conv" / "c.db")
     db.execute("create table steps(idx integer, step_type integer, step_payload blob)")
     db.execute("create table trajectory_metadata_blob(data blob)")
-    db.execute("insert into trajectory_metadata_blob values (?)", (packed("some note here", "file:///Users/x/Projects/velvet"),))
+    db.execute("insert into trajectory_metadata_blob values (?)", (packed("some note here", "file:///Users/x/Projects/maple"),))
     db.executemany("insert into steps values (?, ?, ?)", [(1, 14, packed("123e4567-e89b-12d3-a456-426614174000-is-not", "please look at it", "sessionId: 12345678")), (2, 15, packed('{"message": "inner words"}', "short")), (3, 21, packed('{"CommandLine": "ls -l"}'))])
     db.commit()
     (tmp_path / "conv" / "torn.db").write_bytes(b"no database")
     got = SOURCES["antigravity"](spark, str(tmp_path / "conv")).orderBy("line").collect()
-    assert [(r.kind, r.text, r.cmd, r.project) for r in got][1:] == [("thinking", "inner words", None, "velvet"), ("tool_call", '{"CommandLine": "ls -l"}', "ls -l", "velvet")]
+    assert [(r.kind, r.text, r.cmd, r.project) for r in got][1:] == [("thinking", "inner words", None, "maple"), ("tool_call", '{"CommandLine": "ls -l"}', "ls -l", "maple")]
     assert sorted((r.file.rpartition("/")[2], r.bad) for r in unreadable(spark, str(tmp_path / "conv"), "*.db", "steps").collect()) == [("c.db", False), ("torn.db", True)]

@@ -66,7 +66,7 @@ def test_clean_prose(spark, text, want):  # also against SQL: plans/cleaning.py
     assert one(spark, text, C.clean_prose) == want
 
 
-@pytest.mark.parametrize(("lits", "text", "want"), [(["river"], "driver screwdriver", "driver screwdriver"), (["cs"], "read the csv file", "read the csv file"), (["combat-engine"], "HERD_LANE=combat-engine failed", "HERD_LANE=X failed"), (["jane doe"], "signed by Jane Doe", "signed by X")])
+@pytest.mark.parametrize(("lits", "text", "want"), [(["river"], "driver screwdriver", "driver screwdriver"), (["cs"], "read the csv file", "read the csv file"), (["cargo-engine"], "HERD_LANE=cargo-engine failed", "HERD_LANE=X failed"), (["jane doe"], "signed by Jane Doe", "signed by X")])
 def test_redact(spark, lits, text, want):
     assert one(spark, text, lambda c: C.redact(c, lits, "X")) == want
 

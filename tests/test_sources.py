@@ -19,7 +19,7 @@ def events(df):
 def test_claude_code_bills_a_message_once(spark, tmp_path):
     u = {"input_tokens": 12, "output_tokens": 340, "cache_read_input_tokens": 20000, "cache_creation_input_tokens": 1500}
     d = put(tmp_path / "p" / "a.jsonl", [
-        {"type": "user", "sessionId": "s", "timestamp": "2026-01-01T10:00:00Z", "cwd": "/home/x/finn", "message": {"content": "hello there"}},
+        {"type": "user", "sessionId": "s", "timestamp": "2026-01-01T10:00:00Z", "cwd": "/home/x/ferry", "message": {"content": "hello there"}},
         {"type": "assistant", "sessionId": "s", "message": {"id": "m", "model": "claude-opus-5", "usage": u, "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "hi"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}]}},
         {"type": "assistant", "sessionId": "s", "message": {"id": "m", "usage": u, "content": [{"type": "text", "text": "more"}]}},
         {"type": "user", "sessionId": "s", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "text", "text": "Exit code 1"}]}]}},
@@ -29,7 +29,7 @@ def test_claude_code_bills_a_message_once(spark, tmp_path):
     assert [e["kind"] for e in got] == ["prompt", "thinking", "reply", "tool_call", "reply", "error"]
     assert [e["usage"] is not None for e in got] == [False, True, False, False, False, False]
     assert got[1]["usage"] == {"input": 12, "output": 340, "cache_read": 20000, "cache_write": 1500}
-    assert (got[3]["cmd"], got[5]["tool_name"], got[5]["text"], got[0]["project"]) == ("ls", "Bash", "Exit code 1", "finn")
+    assert (got[3]["cmd"], got[5]["tool_name"], got[5]["text"], got[0]["project"]) == ("ls", "Bash", "Exit code 1", "ferry")
     assert bad_lines(spark, d).first()["bad"] == 1
 
 
@@ -38,7 +38,7 @@ def test_codex_differences_running_counters(spark, tmp_path):
         return {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "total_tokens": t}}}}
 
     d = put(tmp_path / "a.jsonl", [
-        tokens(1000, 0, 100, 1100), {"type": "session_meta", "payload": {"id": "s", "cwd": "/w/finn"}}, {"type": "turn_context", "payload": {"model": "gpt-5.6-terra"}},
+        tokens(1000, 0, 100, 1100), {"type": "session_meta", "payload": {"id": "s", "cwd": "/w/ferry"}}, {"type": "turn_context", "payload": {"model": "gpt-5.6-terra"}},
         {"type": "event_msg", "payload": {"type": "user_message", "message": "do it"}}, tokens(3000, 800, 250, 3250), tokens(3000, 800, 250, 3250),
         {"type": "response_item", "payload": {"type": "function_call", "name": "shell", "call_id": "c", "arguments": json.dumps({"command": ["bash", "-lc", "git status"]})}},
         {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c", "output": "error: exit 1"}},
