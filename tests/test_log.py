@@ -281,3 +281,25 @@ def test_workspaces_and_envelopes(spark, tmp_path):
     got = SOURCES["antigravity"](spark, str(tmp_path / "conv")).orderBy("line").collect()
     assert [(r.kind, r.text, r.cmd, r.project) for r in got][1:] == [("thinking", "inner words", None, "maple"), ("tool_call", '{"CommandLine": "ls -l"}', "ls -l", "maple")]
     assert sorted((r.file.rpartition("/")[2], r.bad) for r in unreadable(spark, str(tmp_path / "conv"), "*.db", "steps").collect()) == [("c.db", False), ("torn.db", True)]
+
+
+def test_the_whole_document_of_a_corpus(spark, tmp_path):
+    from quillspark.operators import share
+    from quillspark.plans import analyze
+
+    events = demo.events(spark, 700)
+    got = analyze.statistics(spark, events, zone="Asia/Jerusalem", literals=["copper-finch"], generated_at="2026-08-25T00:00:00Z")
+    rows = events.collect()
+    assert list(got) == D.SECTIONS and len(json.dumps(got)) < 4_000_000
+    assert got["source_events"] == got["totals"]["events"] == 700 == sum(c["events"] for c in got["coverage"].values()) and set(got["coverage"]) == {r.tool for r in rows}
+    assert got["totals"]["prompts"] == sum(r.kind == "prompt" for r in rows) == sum(got["activity"]["per_day"].values()) == sum(got["activity"]["hour_histogram"].values())
+    assert sum(got["spend"]["tokens"].values()) == sum(r.tokens for r in rows if r.tokens) and got["spend"]["tools_without_usage"] == ["grok"] and got["spend"]["total_cost"] > 0
+    assert "copper-finch" not in json.dumps(got) and "redacted" in got["clouds"]["by_project"] and len(got["clouds"]["by_month"]) >= 5
+    cloud = got["clouds"]["global"]
+    assert {d["t"]: d["n"] for d in cloud["commands"]}["git"] == sum(r.kind == "tool_call" and r.cmd.startswith("git") for r in rows) and cloud["errors"][0]["n"] > 0
+    assert got["wrapped"]["politeness"]["please"] > 0 and got["wrapped"]["top_tool"]["name"] == "claude_code" and got["wrapped"]["longest_streak_days"] > 0
+    D.write_json(got, str(tmp_path / "stats.json"))
+    public, report = share.shared(json.loads((tmp_path / "stats.json").read_text()))
+    assert public["clouds"]["by_project"] == {} and "amber-kettle" not in json.dumps(public) and report["facets_dropped"] > 3
+    empty = analyze.statistics(spark, events.limit(0))
+    assert empty["totals"]["events"] == 0 and empty["wrapped"]["words_to_ai"] == 0 and empty["trends"] == {"rising": [], "fading": []}
