@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import among
+
 # Programs whose first argument is part of the label.
 SUBCOMMANDS = ["git", "npm", "pnpm", "yarn", "docker", "cargo", "go", "kubectl", "brew", "pip", "pip3", "vercel", "gh", "expo", "eas", "supabase"]
 # Suffixes that are a file type without a path around them.
@@ -44,5 +46,5 @@ def file_extension(text: Column) -> Column:
     """The lower-case suffix of a text's last word, if it is a path or the suffix is a known one, and no address. Null otherwise."""
     word = F.element_at(F.concat(F.array(F.lit("")), _words(text)), -1)
     suffix = F.lower(F.regexp_extract(word, SUFFIX, 1))
-    good = (suffix != "") & ~word.contains("://") & (word.rlike(r"[/\\]") | suffix.isin(FILE_EXTS))
+    good = (suffix != "") & ~word.contains("://") & (word.rlike(r"[/\\]") | among(suffix, FILE_EXTS))
     return F.when(good, suffix)

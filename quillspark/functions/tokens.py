@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(F.lower(c), F.lit("-.'"))
 
 
+def among(t: Column, words: list[str]) -> Column:
+    """t.isin(words), with the list made in the JVM at once: one by one, hundreds of literals take most of a query's time to build."""
+    jvm = SparkContext._active_spark_context._jvm
+    return type(t)(t._jc.isInCollection(jvm.java.util.regex.Pattern.compile(" ").splitAsStream(" ".join(words)).toList()))
+
+
 def opaque(t: Column) -> Column:
     """A run of ten or more letters and digits with three runs of digits, or of fourteen with few vowels."""
 
@@ -34,7 +41,7 @@ def keeps(t: Column) -> Column:
     digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
     return (
         F.length(t).between(3, 28)
-        & ~t.isin(W.STOPWORDS)
+        & ~among(t, W.STOPWORDS)
         & ~t.rlike(W.HOST)
         & ~t.rlike(W.DOTTED)
         & (t.rlike("[aeiouy]") | t.rlike(r"[^\x00-\x7f]"))
@@ -92,7 +99,7 @@ def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Word n-grams with function words inside, neither first nor last, every word word-like. A word is judged once, whatever grams it is in."""
 
     def kind(w: Column) -> Column:
-        return F.when(~w.rlike(W.WORD_LIKE), "x").when(w.isin(W.BASE_STOP), "s").otherwise("g")
+        return F.when(~w.rlike(W.WORD_LIKE), "x").when(among(w, W.BASE_STOP), "s").otherwise("g")
 
     def of(words: Column) -> Column:
         judged_ = F.transform(words, lambda w: F.struct(w.alias("w"), kind(w).alias("k")))

@@ -1,15 +1,14 @@
 """The whole statistics document of an event log: clouds, trends, spend, the year in numbers, activity, coverage.
 
 What reaches the driver is bounded: lists by their caps, slices by `projects` and the tools and months there are, days by the
-calendar. Events, and the counted terms, are kept on executors' disks while the document is made, since every part reads them.
+calendar. Events with their prose, counted terms and prompts are work tables while the document is made, since every part reads them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ..operators import events as E
 from ..operators import facets as B
 from ..operators import score as S
 from ..operators import wrapped as Y
+from .layout import work_tables
 
 DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 WITHOUT_USAGE = ("grok", "antigravity")
@@ -65,33 +65,30 @@ def _clouds(terms: DataFrame, counts: DataFrame, top: int, projects: list[str])
     return out
 
 
-def _spend(spark: SparkSession, own: DataFrame, price_file: str | None) -> dict[str, Any]:
+def _spend(spark: SparkSession, own: DataFrame, price_file: str | None, keep: Callable[[DataFrame], DataFrame]) -> dict[str, Any]:
     used = own.where("usage is not null").select("tool", "model", "day", F.col("sid").alias("session_id"), *(F.col(f"usage.{k}").alias(k) for k in ("input", "output", "cache_read", "cache_write")))
-    priced = E.priced(used, E.prices(spark, price_file)).persist(StorageLevel.DISK_ONLY)
-    try:
-        keys = ("input", "output", "cache_read", "cache_write")
-        whole = priced.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in keys), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.count("*").alias("events")).first()
-        days = E.by_day(priced)
-        best = Y.priciest_day(days).first()
-        return {
-            "currency": "USD", "estimates_note": NOTE, "total_cost": round(whole.cost, 2), "total_tokens": sum(whole[k] for k in keys), "by_day": [{"date": str(r.day), "cost": r.cost, "tokens": r.tokens} for r in days.collect()],
-            "by_model": [{k: r[k] for k in ("model", "tool", "cost", *keys)} for r in E.by_model(priced).collect()], "by_tool": [r.asDict() for r in E.by_tool(priced).collect()],
-            "cache_hit_rate": E.cache_hit_rate(priced).first()[0], "unpriced_models": sorted(r.model for r in priced.where("cost is null and model is not null").select("model").distinct().collect()),
-            "tools_without_usage": sorted(r.tool for r in own.select("tool").distinct().subtract(priced.select("tool").distinct()).collect()), "tokens": {k: whole[k] for k in keys}, "events": whole.events,
-            "priciest_day": {"date": str(best.date), "cost": best.cost} if best else {"date": "", "cost": 0.0},
-        }
-    finally:
-        priced.unpersist()
+    priced = keep(E.priced(used, E.prices(spark, price_file)))
+    keys = ("input", "output", "cache_read", "cache_write")
+    whole = priced.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in keys), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.count("*").alias("events")).first()
+    days = E.by_day(priced)
+    best = Y.priciest_day(days).first()
+    return {
+        "currency": "USD", "estimates_note": NOTE, "total_cost": round(whole.cost, 2), "total_tokens": sum(whole[k] for k in keys), "by_day": [{"date": str(r.day), "cost": r.cost, "tokens": r.tokens} for r in days.collect()],
+        "by_model": [{k: r[k] for k in ("model", "tool", "cost", *keys)} for r in E.by_model(priced).collect()], "by_tool": [r.asDict() for r in E.by_tool(priced).collect()],
+        "cache_hit_rate": E.cache_hit_rate(priced).first()[0], "unpriced_models": sorted(r.model for r in priced.where("cost is null and model is not null").select("model").distinct().collect()),
+        "tools_without_usage": sorted(r.tool for r in own.select("tool").distinct().subtract(priced.select("tool").distinct()).collect()), "tokens": {k: whole[k] for k in keys}, "events": whole.events,
+        "priciest_day": {"date": str(best.date), "cost": best.cost} if best else {"date": "", "cost": 0.0},
+    }
 
 
 def statistics(spark: SparkSession, events: DataFrame, zone: str | None = None, literals: Iterable[str] = (), price_file: str | None = None, top: int = 300, projects: int = 24, generated_at: str = "") -> dict[str, Any]:
     """The document of an event relation (sources.schema.EVENT). literals: what is masked in prose, commands, errors and labels."""
     literals = list(literals)
     events = events.withColumn("project", C.scrub_label(F.col("project"), literals)) if literals else events
-    own = B.sliced(with_prose(events, literals), zone).persist(StorageLevel.DISK_ONLY)
-    terms = B.spoken(own).unionByName(B.done(own, literals)).persist(StorageLevel.DISK_ONLY)
-    prompts = Y.prompt_rows(own).persist(StorageLevel.DISK_ONLY)
-    try:
+    with work_tables(spark) as keep:
+        own = keep(B.sliced(with_prose(events, literals), zone))
+        terms = keep(B.spoken(own).unionByName(B.done(own, literals)))
+        prompts = keep(Y.prompt_rows(own))
         counts = B.facet_counts(own, zone)
         ranked = [r.asDict() for r in counts.where("scope = 'project' and member <> 'unknown'").orderBy(F.desc("prompts"), "member").limit(40).collect()]
         kept = [r["member"] for r in ranked][:projects]
@@ -110,7 +107,7 @@ def statistics(spark: SparkSession, events: DataFrame, zone: str | None = None,
         day = {str(r.day): r.n for r in Y.prompts_by(prompts, "day").orderBy("day").collect()}
         hour = {r.hour: r.n for r in Y.prompts_by(prompts, "hour").collect()}
         week = {r.weekday: r.n for r in Y.prompts_by(prompts, "weekday").collect()}
-        spend = _spend(spark, own, price_file)
+        spend = _spend(spark, own, price_file, keep)
         year = Y.numbers(prompts).first()
         voice = terms.where("scope = 'global' and facet in ('prose_user', 'prose_assistant')").select(F.col("facet").alias("side"), F.col("t").alias("term"), "n")
         said = lambda df, side, n: [[r.term, r.n] for r in df.where(F.col("side") == side).where(Y.shareable(F.col("term"))).orderBy(F.desc("z"), F.desc("n"), "term").limit(n).collect()]
@@ -139,6 +136,3 @@ def statistics(spark: SparkSession, events: DataFrame, zone: str | None = None,
                 "top_projects": [{"t": r["member"], "n": r["prompts"], "events": r["events"], "sessions": r["sessions"], "tools": pivot.get(r["member"], {})} for r in ranked], "sessions_by_tool": {t: c["sessions"] for t, c in covered.items()},
             },
         )
-    finally:
-        for x in (prompts, terms, own):
-            x.unpersist()
